@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A finished write needs its shuffle files no more; whole texts go to Python in small batches.
+WHILE_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,12 +39,14 @@ class Tables:
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         conf, path = self.spark.conf, f"{self.root}/{name}"
-        before = conf.get(CLEANUP, "false")
-        conf.set(CLEANUP, "true")
+        before = {k: conf.get(k) for k in WHILE_SAVING}
+        for k, v in WHILE_SAVING.items():
+            conf.set(k, v)
         try:
             df.write.mode("overwrite").option("compression", codec).parquet(path)
         finally:
-            conf.set(CLEANUP, before)
+            for k, v in before.items():
+                conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
