@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraweave.llm import feistel, line_quality, simhash, suffix_dedup
+from terraweave.llm import feistel, line_quality, mixing, packing, simhash, suffix_dedup, token_store
+from terraweave.llm.common import Tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +19,29 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "base_failed", "kept")
 
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = table(spark, sf_dir, "documents").select("doc_id", mixing.words_in("text").alias("size"), "source")
+    return mixing.mix(sized, "size", "source").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_rans_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = Tables(spark)
+    token_store.write(table(spark, sf_dir, "documents"), f"{tables.root}/store", TOKENIZER)
+    tables.keep_until_exit()
+    return token_store.read(spark, f"{tables.root}/store")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract fixes shingles of three words."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
@@ -38,5 +59,5 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op5_line_quality, op7_simhash, op10_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op1_pivotal_mix, op2_cost_packing, op4_suffix_dedup, op5_line_quality, op6_rans_store, op7_simhash, op10_feistel_shards)}
 ORACLES: dict[str, str] = {}
