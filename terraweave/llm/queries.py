@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraweave.llm import feistel, line_quality, mixing, packing, simhash, suffix_dedup, token_store
+from terraweave.llm import feistel, language, line_quality, mixing, packing, simhash, suffix_dedup, token_store, topk, url_filter
 from terraweave.llm.common import Tables
 
 
@@ -31,6 +31,14 @@ def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -48,6 +56,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op8_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").filter(topk.usable(F.col("embedding")))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long"))
+    vectors = rows.select(F.col("vec_id").alias("id"), whole.alias("v"))
+    return topk.top_k(vectors, vectors.filter("id % 50 = 0"), 5)
+
+
+def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    found = language.identify(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 SHARDS = 8
 SEED = 20
 
@@ -59,5 +80,5 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pivotal_mix, op2_cost_packing, op4_suffix_dedup, op5_line_quality, op6_rans_store, op7_simhash, op10_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op1_pivotal_mix, op2_cost_packing, op3_url_filter, op4_suffix_dedup, op5_line_quality, op6_rans_store, op7_simhash, op8_threshold_topk, op9_string_kernel, op10_feistel_shards)}
 ORACLES: dict[str, str] = {}
