@@ -9,8 +9,10 @@ another document go on to the next length:
    inside it: equal strings have equal representatives, and neighbouring strings mostly share
    one, so one row stands for a run of about fifteen positions. Spark sorts these (rank, position)
    rows; a rank that one document alone has is unique and its run is dropped.
-2. The surviving runs fetch their bytes and are sorted again by rank. Within a rank all their
-   positions are ranked by pairs of ranks at offsets of 8, 16 and 18 bytes (prefixes of 16, 32
+   Among runs of one rank, those of equal bytes (by a 64-bit hash of the run) are one class: all but
+   the runs of its smallest document go as a whole.
+2. Runs of the smallest documents whose rank has several classes fetch their bytes and are sorted
+   again by rank. Within a rank all their positions are ranked by pairs of ranks at offsets of 8, 16 and 18 bytes (prefixes of 16, 32
    and ``length`` bytes), reranked after each sort, unique positions dropped each time. A rank of the last
    sort gives the smallest document with this string.
 3. Covered positions are merged to spans and cut from the texts.
@@ -30,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraweave.llm.common import Tables, partitions, without
+from terraweave.llm.common import Tables, partitions
 
 BASE = 20
 #: Bytes of text that are hashed at once.
@@ -121,7 +123,7 @@ class _Held:
             self.size += k
 
     def take(self) -> Iterator[pa.RecordBatch]:
-        """Rows ``rank, key, span``: runs to be sorted, and with rank -1 spans that go."""
+        """Rows ``rank, content, key, order, span``: runs to be sorted, and with rank -1 spans that go."""
         if not self.size:
             return
         rank, start, n, content, order, key = (np.concatenate(c) for c in zip(*self.columns))
@@ -132,14 +134,15 @@ class _Held:
         gone = np.zeros(len(by), bool)
         gone[by] = order[by] > lowest
         stay = np.flatnonzero(~gone)
-        yield _rows(rank[stay].view(np.int64) & LAST, key[stay], _pack(start[stay], n[stay]))
+        yield _rows(rank[stay].view(np.int64) & LAST, content[stay].view(np.int64), key[stay], order[stay], _pack(start[stay], n[stay]))
         if gone.any():
             keys, spans = merge_spans(key[gone], start[gone], (start + n + self.length - 1)[gone])
-            yield _rows(np.full(len(keys), -1, np.int64), keys, spans)
+            none = np.full(len(keys), -1, np.int64)
+            yield _rows(none, none, keys, none, spans)
 
 
-def _rows(rank: np.ndarray, key: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rank), pa.array(key), pa.array(span)], names=["rank", "key", "span"])
+def _rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rank", "content", "key", "order", "span"])
 
 
 def merge_spans(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +218,7 @@ def _spans_gone(key: np.ndarray, start: np.ndarray, n: np.ndarray, gone: np.ndar
     return merge_spans(key[run], place, place + length)
 
 
-def spans(tables: Tables, docs: DataFrame, length: int) -> DataFrame:
+def spans(tables: Tables, docs: DataFrame, length: int, plain: bool) -> DataFrame:
     """``(key, spans)``: what goes from the text of each row of ``docs(key, order, text)``."""
     n_parts = partitions(docs.sparkSession)
 
@@ -284,11 +287,21 @@ def spans(tables: Tables, docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield from out(pa.Table.from_batches(held))
 
-    ranked = docs.mapInArrow(rank, "rank long, key long, span long")
+    ranked = docs.mapInArrow(rank, "rank long, content long, key long, order long, span long")
+    if plain:  # the key is the order, and one of them is enough
+        ranked = ranked.drop("order").withColumn("order", F.col("key"))
+    run = F.col("rank") >= 0
     # Equal ranks meet in one sort; a rank that one key alone has is unique.
-    ranked = ranked.withColumn("__tw_by", F.when(F.col("rank") < 0, F.xxhash64("key", "span")).otherwise(F.col("rank")))
-    shared = ranked.select("rank", "key", "span", *[f("key").over(_window()).alias(a) for f, a in ((F.min, "lo"), (F.max, "hi"))])
-    shared = tables.save(shared.filter("rank < 0 or lo <> hi").select("rank", "key", "span"), "shared")
+    ranked = ranked.withColumn("__tw_by", F.when(run, F.col("rank")).otherwise(F.xxhash64("key", "span"))).withColumn("content", F.when(run, F.col("content")))
+    of_rank, of_class = Window.partitionBy("__tw_by"), Window.partitionBy("__tw_by", "content")
+    shared = ranked.select(
+        "*", *[f(c).over(of_rank).alias(f"{a}_{c}") for c in ("key", "content") for f, a in ((F.min, "lo"), (F.max, "hi"))], F.min("order").over(of_class).alias("least")
+    )
+    whole = run & (F.col("order") > F.col("least"))
+    shared = shared.filter(~run | whole | (F.col("lo_key") != F.col("hi_key")) & (F.col("lo_content") != F.col("hi_content")))
+    gone = ~run | whole
+    shared = shared.select(F.when(gone, F.lit(-1).cast("long")).otherwise(F.col("rank")).alias("rank"), "key", F.when(whole, F.col("span") + (length - 1)).otherwise(F.col("span")).alias("span"))
+    shared = tables.save(shared, "shared")
     asked = shared.filter("rank >= 0").groupBy("key").agg(F.collect_list(F.struct("rank", "span")).alias("a"))
     asked = asked.select("key", F.col("a.rank").alias("ranks"), F.col("a.span").alias("packed"))
     fetched = docs.join(asked, "key").select("key", "order", "text", "ranks", "packed").mapInArrow(fetch, "rank long, key long, order long, start long, content binary")
@@ -298,12 +311,6 @@ def spans(tables: Tables, docs: DataFrame, length: int) -> DataFrame:
     return all_spans.groupBy("key").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
 
-def _window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("__tw_by")
-
-
 def _merged(packed: list[int]) -> list[tuple[int, int]]:
     """Maximal runs of sorted packed spans."""
     out: list[list[int]] = []
@@ -328,7 +335,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     rest = [c for c in df.columns if c != text and c.lower() not in outputs] if texts else [key]
     order = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
     docs = df.select(tag.alias("key"), order.alias("order"), whole.alias("text"))
-    found = spans(tables, docs, length)
+    found = spans(tables, docs, length, plain)
     fields = [f for f in df.schema.fields if f.name in rest]
     joined = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], whole.alias("text"), F.col(text).isNull().alias("none"), tag.alias("key"))
     joined = joined.join(found, "key", "left").select(*[f"c{i}" for i in range(len(rest))], "text", "none", "spans")
@@ -359,6 +366,3 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     tables.keep_until_exit()
     named = {c: f"c{i}" for i, c in enumerate(rest)} | ({text: "t"} if texts else {})
     return done.select(*[F.col(named[c]).alias(c) for c in df.columns if c in named], *outputs)
-
-
-__all__ = ["remove_repeats", "without"]
