@@ -26,6 +26,7 @@ from terraweave.llm.common import Tables, without
 BITS = 14
 MAX_N = 3
 SAMPLE = 3000
+SALTS = 64
 LANDMARKS = 400
 RIDGE = 1e-3
 #: Margins are spread so that a clear decision scores near one.
@@ -73,6 +74,9 @@ def train(df: DataFrame, key: str, text: str, lang: str) -> tuple[list[str], np.
     """Learns from the rows of ``df``. Presence vectors are made on the executors and come as bits."""
     by_hash = Window.partitionBy("l").orderBy("h", "k")
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.xxhash64(F.lit(3), key).alias("h"))
+    # First by language and salt, so that what meets for one language is bounded however many rows it has.
+    salted = Window.partitionBy("l", F.pmod("h", F.lit(SALTS))).orderBy("h", "k")
+    rows = rows.withColumn("n", F.row_number().over(salted)).filter(F.col("n") <= SAMPLE).drop("n")
     chosen = rows.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= SAMPLE).orderBy("n", "l", "h").limit(SAMPLE).select("k", "n", "l")
     texts = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l2")).filter("t is not null")
     picked = texts.join(F.broadcast(chosen), "k").filter("l = l2").select("n", "l", "t")  # SAMPLE rows at most are broadcast
