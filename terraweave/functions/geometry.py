@@ -220,4 +220,4 @@ def geohash(lon: Column, lat: Column, precision: int = 8) -> Column:
             axis, left = (x, n_lon - 1 - b // 2) if b % 2 == 0 else (y, n_lat - 1 - b // 2)
             value = value * 2 + F.shiftright(axis, left) % 2
         out.append(F.substring(F.lit(BASE32), (value + 1).cast("int"), F.lit(1)))
-    return F.concat(*out)
+    return F.when(lon.isNotNull() & lat.isNotNull(), F.concat(*out))

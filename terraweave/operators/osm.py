@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terraweave.functions import geometry
 
@@ -181,22 +182,23 @@ def assemble(kind: str | None, members: list[tuple[str, str]]) -> str | None:
     return "GEOMETRYCOLLECTION (" + ", ".join(w for _, w in members) + ")"
 
 
+@F.pandas_udf(T.StringType())
+def _assembled(kinds: pd.Series, members: pd.Series) -> pd.Series:
+    return pd.Series([assemble(k, [(m["role"] or "", m["wkt"]) for m in ms]) for k, ms in zip(kinds, members)], dtype=object)
+
+
 def relation_geometries(relations: DataFrame, nodes: DataFrame, ways: DataFrame, rounds: int = 2) -> DataFrame:
     """``(id, tags, wkt)``. ``nodes`` and ``ways`` are ``(id, wkt)``. Members that are relations are looked up in the round
     before, so nesting is followed ``rounds`` deep; members keep the document's order."""
     members = relations.select("id", F.posexplode("members").alias("pos", "m")).select("id", "pos", "m.ref", "m.type", "m.role")
     known = nodes.select(F.lit("node").alias("type"), F.col("id").alias("ref"), "wkt").unionByName(ways.select(F.lit("way").alias("type"), F.col("id").alias("ref"), "wkt"))
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "wkt": [assemble(pdf["kind"].iloc[0], list(zip(pdf["role"].fillna(""), pdf["wkt"])))]})
-
     kinds = relations.select("id", F.try_element_at("tags", F.lit("type")).alias("kind"))
     found = None
     for _ in range(rounds):
         all_known = known if found is None else known.unionByName(found.select(F.lit("relation").alias("type"), F.col("id").alias("ref"), "wkt"))
-        placed = members.join(all_known, ["type", "ref"]).join(kinds, "id")
-        found = placed.groupBy("id").applyInPandas(build, "id string, wkt string").filter("wkt is not null")
+        placed = members.join(all_known, ["type", "ref"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "wkt"))).alias("m"))
+        found = placed.join(kinds, "id").select("id", _assembled("kind", "m").alias("wkt")).filter("wkt is not null")
     return relations.join(found, "id").select("id", "tags", "wkt")
 
 

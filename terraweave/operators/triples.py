@@ -106,7 +106,7 @@ class TripleBuilder:
     def flat_triples(self, uri: Column, attrs: Attributes) -> Column:
         ns = self.config.ontology_ns
         name = lambda k: F.concat(F.lit(ns), F.url_encode(k))
-        groups = [_when(text.has_value(v), triple(uri, name(F.lit(k)), v)) for k, v in [*attrs.entries(), ("DATA_SOURCE", F.lit(self.config.source))]]
+        groups = [_when(text.has_value(v), triple(uri, name(F.lit(k)), v)) for k, v in (dict(attrs.entries()) | {"DATA_SOURCE": F.lit(self.config.source)}).items()]
         if attrs.dynamic:
             kept = F.filter(F.map_entries("attrs"), lambda e: text.has_value(e["value"]))
             groups.append(F.transform(kept, lambda e: triple(uri, name(e["key"]), e["value"])))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terraweave.functions import crs, geometry
 from terraweave.operators import classification, filters, osm, stats
-from terraweave.operators.triples import TripleBuilder, as_graph
+from terraweave.operators.triples import Attributes, TripleBuilder, as_graph
 from terraweave.plans import mapping, sparql
 from terraweave.plans.config import Config
 from terraweave.plans.rml import RmlBuilder, RmlMapping, augmented
@@ -97,10 +97,8 @@ class Forward:
 
     def registry(self) -> DataFrame:
         builder, c = TripleBuilder(self.config, self.mapping), self.config
-        from terraweave.operators.triples import Attributes
-
         at = geometry.centroid(crs.transform(geometry.parse(F.col("wkt")), c.target_srid, 4326))
-        category = "ASSIGNED_CATEGORY" if "ASSIGNED_CATEGORY" in self.features.columns else (c.category_attrs or [None])[0]
+        category = "ASSIGNED_CATEGORY" if self.categories is not None and "embed_category" in self.categories.columns else (c.category_attrs or [None])[0]
         return stats.registry(self.features, builder.feature_uri(Attributes(self.features)), c.source, c.key_attr, c.name_attr, category, at["x"], at["y"])
 
     def write(self) -> None:

@@ -428,15 +428,17 @@ def select(triples: DataFrame, text: str, blank: bool = True) -> DataFrame:
     for c in columns:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
+    pick = lambda d: d.select(*[(F.coalesce(_col(c), F.lit("")) if blank else _col(c)).alias(c) for c in columns])
+    if q.distinct:
+        df = pick(df).distinct()
     if q.order_by:
         keys = []
         for v, up in q.order_by:
             for key in (_col(v).try_cast("double"), _col(v)):
                 keys.append(key.asc_nulls_first() if up else key.desc_nulls_last())
         df = df.orderBy(*keys)
-    df = df.select(*[(F.coalesce(_col(c), F.lit("")) if blank else _col(c)).alias(c) for c in columns])
-    if q.distinct:
-        df = df.distinct()
+    if not q.distinct:
+        df = pick(df)
     if q.offset:
         df = df.offset(q.offset)
     return df.limit(q.limit) if q.limit is not None else df
