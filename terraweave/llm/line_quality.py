@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from terraweave.llm.common import SPACE, WORD, without
 
 #: Ends of a sentence, closing quotes and brackets after them allowed.
-ENDED = r"[.!?:;…。！？][\"')\]»”’]*[\x20\x09-\x0D]*$"
+ENDED = r"[.!?:;…。！？][\"')\]»”’]*[\x20\x09-\x0D]*\z"
 #: Between the entries of a menu or a trail of links.
 BETWEEN = r"[|>»›•·]"
+SHOUTS = r"[!?*#~=_^]"
 BOILERPLATE = (
     r"(?i)(all rights reserved|cookie (policy|settings|consent)|(uses|use|accept) (all )?cookies|privacy policy|terms (of|and) (use|service|conditions)"
     r"|(enable|requires) javascript|click here|sign (in|up)|log ?in (to|or)|subscribe (to|now)|skip to (main )?content|read more|add to cart"
@@ -49,7 +50,7 @@ def n_words_in(text: Column) -> Column:
 
 def fails_punctuation(line: Column) -> Column:
     """No end of a sentence, or more than one mark like ! ? * # for every two words."""
-    shouts = F.regexp_count(line, F.lit(r"[!?*#~=_^]"))
+    shouts = F.regexp_count(line, F.lit(SHOUTS))
     return ~F.rlike(line, F.lit(ENDED)) | (shouts > 1) & (2 * shouts > n_words_in(line))
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraweave.llm import feistel, language, line_quality, mixing, packing, simhash, suffix_dedup, token_store, topk, url_filter
+from terraweave.llm import feistel, language, line_quality, mixing, oracles, packing, simhash, suffix_dedup, token_store, topk, url_filter
 from terraweave.llm.common import Tables
 
 
@@ -81,4 +81,4 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pivotal_mix, op2_cost_packing, op3_url_filter, op4_suffix_dedup, op5_line_quality, op6_rans_store, op7_simhash, op8_threshold_topk, op9_string_kernel, op10_feistel_shards)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_suffix_dedup": oracles.suffix_dedup(), "op5_line_quality": oracles.line_rules(), "op8_threshold_topk": oracles.TOP_K, "op10_feistel_shards": oracles.shards(SHARDS, SEED)}
