@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from terraweave.plans.config import Config
 from terraweave.plans.rml import RmlBuilder, RmlMapping, augmented
 from terraweave.sinks import features as feature_sinks
 from terraweave.sinks import rdf as rdf_sinks
-from terraweave.sources import binary, nested, rdf, tabular
+from terraweave.sources import binary, nested, rdf, tabular, xml_graph
 
 
 def text_of(spark: SparkSession, path: str) -> str:
@@ -68,6 +70,17 @@ def prepared(features: DataFrame, config: Config) -> DataFrame:
     return out
 
 
+def xml_triples(spark: SparkSession, config: Config) -> DataFrame:
+    """Triples of XML documents by the profile of their format; no mapping, filter or statistics apply."""
+    kind, base = config.format.upper(), config.feature_ns
+    if kind in ("METADATA", "ISO"):
+        return xml_graph.read(spark, config.inputs, None)
+    profile = xml_graph.inspire(config.source, base) if kind == "INSPIRE" else replace(xml_graph.KML if kind == "KML" else xml_graph.GML, base=base)
+    if kind != "INSPIRE" and config.name_attr:
+        profile = replace(profile, label=config.name_attr)
+    return xml_graph.read(spark, config.inputs, profile)
+
+
 class Forward:
     """Features to triples. ``rules`` are OSM tag rules, ``dictionary`` embeds categories."""
 
@@ -77,6 +90,8 @@ class Forward:
         self.rml = RmlMapping(spec) if spec and config.mode.upper() == "RML" else None
         self.mapping = mapping.load(spec) if spec and self.rml is None else None
         self.features = prepared(scan(spark, config, rules), config)
+        if config.partitions > 1:
+            self.features = self.features.repartition(config.partitions)
         self.categories: DataFrame | None = None
         if config.classification:
             content = text_of(spark, config.classification)

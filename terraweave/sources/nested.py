@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
@@ -98,20 +100,42 @@ def _xml(spark: SparkSession, path: str | list[str], tag: str, schema: str) -> D
 _POINT = "_lat: string, _lon: string"
 
 
+_TRACK = ["name", "cmt", "desc", "src", "number", "type"]
+_WAYPOINT = ["ele", "time", "magvar", "geoidheight", "name", "cmt", "desc", "src", "sym", "type", "fix", "sat", "hdop", "vdop", "pdop", "ageofdgpsdata", "dgpsid"]
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def extension_values(texts: pd.Series) -> pd.Series:
+    """Children of each extension by their local name, with all the text below them. The texts are inner XML, whose
+    prefixes are bound elsewhere and so cut."""
+
+    def one(t: str | None) -> dict[str, str]:
+        try:
+            root = ET.fromstring("<x>" + re.sub(r"(</?)[\w.-]+:", r"\1", re.sub(r"\s[\w.-]+:[\w.-]+=", " a=", t or "")) + "</x>")
+        except ET.ParseError:
+            return {}
+        return {c.tag: "".join(c.itertext()).strip() for e in root for c in e}
+
+    return texts.map(one)
+
+
 def gpx(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Tracks and waypoints; extensions one level deep."""
-    fields = ["name", "cmt", "desc", "src", "type", "sym", "ele", "time"]
-    plain = ", ".join(f"{f} string" for f in fields)
-    flat = lambda: F.transform_values(F.coalesce(F.from_json(F.to_json("extensions"), "map<string,string>"), F.create_map().cast("map<string,string>")), lambda _, v: v)
-    own = lambda: F.map_filter(F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f) for f in fields])), lambda _, v: v.isNotNull())
-    ext = "extensions struct<_x: string>"
-    wpt = _xml(spark, path, "wpt", f"_lat string, _lon string, {plain}, {ext}")
-    trk = _xml(spark, path, "trk", f"{plain}, {ext}, trkseg array<struct<trkpt: array<struct<{_POINT}>>>>")
-    points = lambda s: F.array_join(F.transform(s["trkpt"], lambda p: F.concat_ws(" ", p["_lon"], p["_lat"])), ", ")
-    segs = F.transform("trkseg", lambda s: F.concat(F.lit("("), points(s), F.lit(")")))
-    line = F.when(F.size("trkseg") == 1, F.concat(F.lit("LINESTRING "), segs[0])).otherwise(F.concat(F.lit("MULTILINESTRING ("), F.array_join(segs, ", "), F.lit(")")))
-    make = lambda df, kind, wkt: df.select(F.concat(F.lit(f"{kind}/"), F.coalesce("name", F.lit(""))).alias("fid"), wkt.alias("wkt"), F.map_concat(own(), F.map_filter(flat(), lambda k, _: ~k.isin(fields))).alias("attrs"))
-    return make(wpt, "wpt", geometry.point(F.col("_lon"), F.col("_lat"))).unionByName(make(trk, "trk", line))
+    """Tracks and waypoints, with the fields of their extensions; routes are passed over."""
+
+    def features(tag: str, schema: str, fields: list[str], kind: str, wkt) -> DataFrame:
+        df = _xml(spark, path, tag, ", ".join(f"`{f}` string" for f in fields) + f", extensions string, {schema}")
+        own = F.map_filter(F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.trim(f) for f in fields])), lambda _, v: v.isNotNull())
+        more = F.map_filter(extension_values("extensions"), lambda k, _: ~k.isin(fields))
+        out = df.select(F.concat(F.lit(f"{kind}/"), F.coalesce("name", F.lit(""))).alias("fid"), wkt().alias("wkt"), F.map_concat(own, more).alias("attrs"))
+        return out.filter(F.size("attrs") > 0)
+
+    def line() -> Column:
+        points = lambda s: F.array_join(F.transform(s["trkpt"], lambda p: F.concat_ws(" ", p["_lon"], p["_lat"])), ", ")
+        segs = F.transform("trkseg", lambda s: F.concat(F.lit("("), points(s), F.lit(")")))
+        return F.when(F.size("trkseg") == 1, F.concat(F.lit("LINESTRING "), segs[0])).otherwise(F.concat(F.lit("MULTILINESTRING ("), F.array_join(segs, ", "), F.lit(")")))
+
+    points = features("wpt", "_lat string, _lon string", _WAYPOINT, "wpt", lambda: geometry.point(F.col("_lon"), F.col("_lat")))
+    return features("trk", f"trkseg array<struct<trkpt: array<struct<{_POINT}>>>>", _TRACK, "trk", line).unionByName(points)
 
 
 def osm_xml(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -128,8 +152,6 @@ def osm_xml(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, Data
 
 # GML and KML geometries, element by element.
 
-import xml.etree.ElementTree as ET  # noqa: E402
-
 
 def _local(e: ET.Element) -> str:
     return e.tag.rpartition("}")[2]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terraweave.functions import geometry
 from terraweave.plans.config import Config
+from terraweave.sources.binary import geodatabase_wkt
 
 _BOMS = {b"\xef\xbb\xbf": "UTF-8", b"\xff\xfe": "UTF-16LE", b"\xfe\xff": "UTF-16BE"}
 
@@ -83,5 +84,7 @@ def jdbc(spark: SparkSession, config: Config, options: dict[str, str] | None = N
     reader = spark.read.format("jdbc").options(**jdbc_options(config))
     text = query_text(config)
     df = reader.options(dbtable=f"({text}) q", **options).load() if options else reader.option("query", text).load()
+    if config.jdbc.get("type", "").lower().replace(" ", "") == "msaccess":  # shapes come as they are stored
+        df = df.withColumn("wkt", geodatabase_wkt("wkt"))
     names = {(config.geometry_attr or "").lower(), "wktgeometry"}
     return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns if c.lower() not in names])
