@@ -21,33 +21,43 @@ from pyspark.sql import functions as F
 
 from terraweave.llm.common import without
 
-BITS = 14
+BITS = 16
 SIZES = (3, 4, 5)
 MAX_LABELLED = 10_000
 
+#: Words of invented hosts and paths, by verdict.
 _ALLOW = """
-docs.python-guide.test/tutorial/lists  wiki.open-atlas.test/history/rome  www.city-library.test/catalogue/maps
-news.morning-post.test/science/ocean-currents  blog.garden-notes.test/2021/spring-planting  university.test/department/physics/courses
-museum.test/collection/painting/12  www.health-service.test/advice/sleep  recipes.home-kitchen.test/bread/rye  forum.linux-users.test/t/kernel-build/88
-archive.test/texts/essay-on-nature  www.parliament.test/debates/2019/march  docs.database.test/reference/joins  maps.hiking.test/trails/north-ridge
-journal.biology.test/articles/plant-cells  m.radio-station.test/programme/evening  school.test/lessons/fractions  weather.test/forecast/coast
-www.railway.test/timetable/east  blog.woodwork.test/how-to-make-a-chair  encyclopedia.test/article/volcano  theatre.test/season/programme
-library.test/en/books/42  www.observatory.test/fr/etoiles/7  zeitung.test/de/artikel/wissen/331  revista.test/es/cultura/libros/18
-www.language-school.test/en/grammar/verbs  m.magazine.test/fr/culture/55.html  blog.travel-diary.test/de/berge/9  shop.books.test/en/novel/1201
-foundation.test/report/2020/water  standards.test/spec/encoding/section-4  www.farming.test/soil/compost  code.test/project/parser/readme
+docs python-guide tutorial lists wiki open-atlas history rome city-library catalogue maps news morning-post science ocean blog garden-notes planting university physics courses museum painting
+health-service advice sleep recipes bread forum linux-users kernel archive texts essay parliament debates database reference joins hiking trails journal biology articles cells radio programme
+school lessons fractions weather forecast coast railway timetable woodwork chair encyclopedia volcano theatre season observatory etoiles zeitung wissen revista cultura libros grammar verbs magazine
+travel-diary berge books novel foundation report water standards encoding soil compost code parser readme gazette harbour village-council chess-club orchestra botany cinema-review football cycling
 """.split()
 _BLOCK = """
-casino-bonus.test/free-spins/win-cash  www.best-poker-bets.test/jackpot/play-now  hot-singles.test/xxx/cams  adult-video.test/porn/free
-cheap-pills.test/viagra/buy-now  online-pharmacy-deal.test/order/pills-no-prescription  win-prize.test/claim/iphone-giveaway  free-crack-keygen.test/download/serial
-torrent-warez.test/full-movie/free-download  ads.tracker.test/click/redirect  adserver.test/banner/popup  track.clicks-pixel.test/pixel.gif
-fast-loans.test/payday/apply-now  get-rich-crypto.test/double-your-money  replica-watches.test/cheap/rolex  sex-cams.test/live/girls
-login-verify-account.test/secure/update-password  bank-alert.test/verify/login.php  spam-links.test/seo/backlinks  www.essay-writers-cheap.test/order/now
-betting-odds.test/casino/live-slots  weightloss-miracle.test/buy/diet-pills  xxx-tube.test/porn/videos  escort-girls.test/adult/city
-clickbait-viral.test/shocking/you-wont-believe  free-gift-cards.test/survey/claim  hack-tools.test/crack/password  malware-download.test/setup.exe
-slots-jackpot.test/bonus/spins  forex-signals.test/profit/guaranteed  nude-pics.test/xxx/gallery  popunder-ads.test/click/track
+casino casino-bonus win-cash free-spins poker best-bets betting-odds bets slots jackpot lottery-win roulette adult adult-video porn xxx sex-cams hot-singles escort nude-pics cheap-pills viagra
+online-pharmacy pills buy-now weightloss miracle-diet win-prize claim-prize free-gift giveaway crack keygen serial warez torrent free-download ads adserver ad-banner popup popunder tracker click-track
+ad-pixel redirect fast-loans payday crypto-double forex-signals get-rich replica-watches cheap-rolex verify-account account-login bank-alert spam spam-links link-farm backlinks seo-farm
+clickbait survey-claim hack-tools malware phishing scam essay-writers
 """.split()
+_FRAMES = ("https://www.{}.test/{}", "http://{}.example.com/en/{}", "https://m.{}.example.org/{}.html", "http://blog.{}.test/de/{}/", "https://{}.example.net/fr/{}", "http://news.{}.test/es/{}?page=2")
+
+
+def _labelled() -> list[tuple[str, int]]:
+    """Every word as a host in two frames with numbers for a path, and as a path of plain hosts. Both verdicts share the
+    frames, so these tell nothing; a URL that tells nothing
+    at all is allowed."""
+    out = []
+    for words, blocked in ((_ALLOW, 0), (_BLOCK, 1)):
+        for i, w in enumerate(words):
+            for j in range(2):
+                frame = _FRAMES[(i + 3 * j) % len(_FRAMES)]
+                out.append((frame.format(w, 37 * i % 1000 + j), blocked))
+            out.append((f"https://site{i}.test/{w}/{11 * i % 500}", blocked))
+    out += [(f.format(f"{a}{b}{a}", 91 * i % 1000), 0) for i, f in enumerate(_FRAMES * 4) for a, b in [("bdfglmnr"[i % 8] + "aeiou"[i % 5], "stkrn"[i % 5] + "aeo"[i % 3])]]
+    return out + [("", 0)] * 12
+
+
 #: ``(url, blocked)``. All hosts are invented.
-LABELLED = [(f"https://{u}", 0) for u in _ALLOW] + [(f"https://{u}", 1) for u in _BLOCK]
+LABELLED = _labelled()
 
 
 def _grams(host: str, path: str) -> np.ndarray:
@@ -75,27 +85,25 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), slash + path
 
 
-def train(labelled: Iterable[tuple[str, int]] = tuple(LABELLED), penalty: float = 0.02, steps: int = 400) -> np.ndarray:
-    """Weights, the last one for the bias, by accelerated gradient descent."""
+def train(labelled: Iterable[tuple[str, int]] = tuple(LABELLED), penalty: float = 0.1, steps: int = 400) -> np.ndarray:
+    """Weights, the last one for the bias, by accelerated gradient descent. The weights are sums of rows, so the
+    steps are made on one number a row."""
     rows = list(labelled)
     if len(rows) > MAX_LABELLED:
         raise ValueError(f"a labelled table has {MAX_LABELLED} rows at most")
-    x = np.zeros((len(rows), (1 << BITS) + 1))
+    x = np.zeros((len(rows), (1 << BITS) + 1), np.float32)
     y = np.array([float(b) for _, b in rows])
     for i, (url, _) in enumerate(rows):
         at = _grams(*split_url(url))
         x[i, at] = 1 / np.sqrt(max(len(at), 1))
     x[:, -1] = 1
-    used = np.flatnonzero(x.any(axis=0))
-    z = x[:, used]
-    w = v = np.zeros(len(used))
+    inner = (x @ x.T).astype(np.float64)
+    w = v = np.zeros(len(rows))
     for k in range(steps):
-        p = 1 / (1 + np.exp(-z @ v))
-        new = v - 2.0 * (z.T @ (p - y) / len(y) + penalty / len(y) * v)
+        p = 1 / (1 + np.exp(-inner @ v))
+        new = v - 2.0 / len(y) * (p - y + penalty * v)
         w, v = new, new + k / (k + 3) * (new - w)
-    out = np.zeros(x.shape[1])
-    out[used] = w
-    return out
+    return w @ x
 
 
 def host_of(url: Column) -> Column:

@@ -37,6 +37,14 @@ def test_query(spark):
         assert (r.host, r.path, r.rule) == brute(urls[r.page_id])
 
 
+@pytest.mark.parametrize("url, verdict", [
+    ("https://free-casino-win.example.net/fr/1", "block"), ("http://www.viagra-pills.example.org/en/77", "block"), ("https://m.adserver-click.test/a", "block"),
+    ("https://national-library.example.org/en/2", "allow"), ("http://blog.ondarel.example.com/de/3.html", "allow"), (None, "allow"), ("", "allow"),
+])
+def test_verdicts_of_unseen_urls(spark, url, verdict):
+    assert url_filter.judge(spark.createDataFrame([(1, url)], "page_id long, url string"), {}).first().verdict == verdict
+
+
 def test_model_generalises():
     rows = url_filter.LABELLED
     hits = 0
@@ -45,6 +53,6 @@ def test_model_generalises():
         for url, blocked in rows[fold::4]:
             at = url_filter._grams(*url_filter.split_url(url))
             hits += (w[at].sum() / max(len(at), 1) ** 0.5 + w[-1] >= 0) == bool(blocked)
-    assert hits / len(rows) > 0.75
+    assert hits / len(rows) > 0.75 and len(rows) <= 600
     with pytest.raises(ValueError):
         url_filter.train([("x", 0)] * (url_filter.MAX_LABELLED + 1))
