@@ -17,6 +17,13 @@ another document go on to the next length:
    sort gives the smallest document with this string.
 3. Covered positions are merged to spans and cut from the texts.
 
+A rank of more than ``LONG`` such runs (a phrase that very many documents have, each in words of its own) is
+dealt by position instead: each string has two 64-bit hashes, their smallest document is pre-aggregated, and
+every position meets it in a join. No task holds such a rank.
+
+Ranks that a sample shows to be common are not shuffled as runs at all: their positions stand for themselves, ranked by
+the whole string. The sample decides how rows are dealt and nothing else; results are the same without it.
+
 Equal runs within one task are ranked before the shuffle and stand for one another, so a passage
 that very many documents share sends a few rows from each task, not one from each document.
 
@@ -42,6 +49,10 @@ BASE = 20
 CHUNK = 1 << 20
 #: Runs that are held before equal ones among them are merged.
 HELD = 400_000
+#: A rank with more runs than this is no task's work; it is resolved position by position.
+LONG = 20_000
+#: One document of so many tells which ranks are common, from so many runs of it on, and how many ranks at most.
+SAMPLE, COMMON, MOST = 100, 50, 10_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 LAST = np.iinfo(np.int64).max
@@ -99,6 +110,17 @@ def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return least[starts], starts, sizes, _mix((sums[ends] - sums[starts]) * down[starts] + sizes.astype(np.uint64))
 
 
+def window_hashes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every string of ``length`` bytes."""
+    up, down = _power_table(CHUNK + 2 * length)
+    out = []
+    for codes in (_CODES, _mix(_CODES)):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(codes[data] * up[: len(data)], out=sums[1:])
+        out.append(_mix((sums[length:] - sums[:-length]) * down[: len(data) - length + 1]).view(np.int64))
+    return out[0], out[1]
+
+
 def _segments(text: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
     """Pieces of a text that overlap so that every string of ``length`` bytes starts in one."""
     for at in range(0, max(len(text) - length + 1, 0), CHUNK):
@@ -112,12 +134,18 @@ def _pack(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class _Held:
     """Runs of a task, of which equal ones are merged: those of the smallest order stay."""
 
-    def __init__(self, length: int):
-        self.length, self.columns, self.size = length, [], 0
+    def __init__(self, length: int, common: np.ndarray):
+        self.length, self.common, self.columns, self.size = length, common, [], 0
 
     def add(self, order: int, key: int, text: bytes) -> None:
         for at, data in _segments(text, self.length):
             rank, start, n, content = runs(data, self.length)
+            often = np.isin(rank.view(np.int64) & LAST, self.common)
+            if often.any():
+                first, second = window_hashes(data, self.length)
+                place = np.repeat(start[often] - (np.cumsum(n[often]) - n[often]), n[often]) + np.arange(n[often].sum())
+                rank, content = (np.concatenate([a[~often], b[place].view(np.uint64)]) for a, b in ((rank, first), (content, second)))
+                start, n = np.concatenate([start[~often], place]), np.concatenate([n[~often], np.ones(len(place), n.dtype)])
             k = len(rank)
             self.columns.append((rank, start + at, n, content, np.full(k, order, np.int64), np.full(k, key, np.int64)))
             self.size += k
@@ -128,8 +156,8 @@ class _Held:
             return
         rank, start, n, content, order, key = (np.concatenate(c) for c in zip(*self.columns))
         self.columns, self.size = [], 0
-        by = np.lexsort((order, content))
-        new = np.r_[True, content[by][1:] != content[by][:-1]]
+        by = np.lexsort((order, content, rank))
+        new = np.r_[True, (content[by][1:] != content[by][:-1]) | (rank[by][1:] != rank[by][:-1])]
         lowest = order[by][new][np.cumsum(new) - 1]
         gone = np.zeros(len(by), bool)
         gone[by] = order[by] > lowest
@@ -218,12 +246,28 @@ def _spans_gone(key: np.ndarray, start: np.ndarray, n: np.ndarray, gone: np.ndar
     return merge_spans(key[run], place, place + length)
 
 
+def common_ranks(docs: DataFrame, length: int) -> np.ndarray:
+    """Ranks that many runs of a sample have, MOST at most."""
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                for _, data in _segments(text.as_py(), length):
+                    yield pa.RecordBatch.from_arrays([pa.array(runs(data, length)[0].view(np.int64) & LAST)], names=["rank"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(ranks, "rank long")
+    counts = sample.groupBy("rank").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "rank").limit(MOST)
+    return np.array(sorted(r[0] for r in counts.collect()), np.int64)
+
+
 def spans(tables: Tables, docs: DataFrame, length: int, plain: bool) -> DataFrame:
     """``(key, spans)``: what goes from the text of each row of ``docs(key, order, text)``."""
     n_parts = partitions(docs.sparkSession)
 
+    common = common_ranks(docs, length)
+
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(length)
+        held = _Held(length, common)
         for batch in batches:
             for key, order, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 held.add(order, key, text.as_py())
@@ -287,6 +331,17 @@ def spans(tables: Tables, docs: DataFrame, length: int, plain: bool) -> DataFram
         if held:
             yield from out(pa.Table.from_batches(held))
 
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                _, k, o, s = (batch.column(i).slice(at, 2000).to_numpy() for i in range(4))
+                parts = [np.frombuffer(c.as_py(), np.uint8) for c in batch.column(4).slice(at, 2000)]
+                hashes = [window_hashes(p, length) for p in parts]
+                n = np.array([len(h) for h, _ in hashes])
+                place = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                columns = [np.concatenate([h[i] for h in hashes]) for i in (0, 1)] + [np.repeat(k, n), np.repeat(o, n), _pack(place, np.full(len(place), length))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "key", "order", "span"])
+
     ranked = docs.mapInArrow(rank, "rank long, content long, key long, order long, span long")
     if plain:  # the key is the order, and one of them is enough
         ranked = ranked.drop("order").withColumn("order", F.col("key"))
@@ -302,10 +357,22 @@ def spans(tables: Tables, docs: DataFrame, length: int, plain: bool) -> DataFram
     gone = ~run | whole
     shared = shared.select(F.when(gone, F.lit(-1).cast("long")).otherwise(F.col("rank")).alias("rank"), "key", F.when(whole, F.col("span") + (length - 1)).otherwise(F.col("span")).alias("span"))
     shared = tables.save(shared, "shared")
-    asked = shared.filter("rank >= 0").groupBy("key").agg(F.collect_list(F.struct("rank", "span")).alias("a"))
-    asked = asked.select("key", F.col("a.rank").alias("ranks"), F.col("a.span").alias("packed"))
-    fetched = docs.join(asked, "key").select("key", "order", "text", "ranks", "packed").mapInArrow(fetch, "rank long, key long, order long, start long, content binary")
-    found = fetched.repartition(n_parts, "rank").sortWithinPartitions("rank").mapInArrow(double, "key long, span long")
+    asked = shared.filter("rank >= 0").select("rank", "key", "span")
+    hot = tables.save(asked.groupBy("rank").count().filter(F.col("count") > LONG).select("rank"), "hot")
+
+    def fetched(asked: DataFrame) -> DataFrame:
+        lists = asked.groupBy("key").agg(F.collect_list(F.struct("rank", "span")).alias("a")).select("key", F.col("a.rank").alias("ranks"), F.col("a.span").alias("packed"))
+        texts = docs.join(lists, "key").select("key", "order", "text", "ranks", "packed")
+        return texts.mapInArrow(fetch, "rank long, key long, order long, start long, content binary")
+
+    some = not hot.isEmpty()
+    few = asked.join(hot, "rank", "left_anti") if some else asked
+    found = fetched(few).repartition(n_parts, "rank").sortWithinPartitions("rank").mapInArrow(double, "key long, span long")
+    if some:
+        each = fetched(asked.join(hot, "rank", "left_semi")).mapInArrow(positions, "a long, b long, key long, order long, span long")
+        each = tables.save(each, "positions")
+        least = each.groupBy("a", "b").agg(F.min("order").alias("least"))
+        found = found.unionByName(each.join(least, ["a", "b"]).filter("order > least").select("key", "span"))
     found = tables.save(found, "found")
     all_spans = shared.filter("rank < 0").select("key", "span").unionByName(found)
     return all_spans.groupBy("key").agg(F.sort_array(F.collect_list("span")).alias("spans"))
@@ -362,7 +429,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     names = [f"c{i}" for i in range(len(rest))] + ["t"] * texts + list(outputs)
     schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)] + ["t string"] * texts + ["n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
     done = tables.save(joined.mapInArrow(cut, schema), "done")
-    tables.drop("shared", "found")
+    tables.drop("shared", "found", "hot", "positions")
     tables.keep_until_exit()
     named = {c: f"c{i}" for i, c in enumerate(rest)} | ({text: "t"} if texts else {})
     return done.select(*[F.col(named[c]).alias(c) for c in df.columns if c in named], *outputs)

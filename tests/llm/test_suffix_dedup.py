@@ -43,14 +43,28 @@ def cases():
     return [(i, "".join(rng.choice(shared) if rng.random() < 0.5 else word() for _ in range(rng.randrange(6)))) for i in range(60)]
 
 
-@pytest.mark.parametrize("held", [50, 400_000])
-def test_random_texts(spark, monkeypatch, held):
+@pytest.mark.parametrize("held, long", [(50, 20_000), (400_000, 20_000), (400_000, 3), (400_000, 0)])
+def test_random_texts(spark, monkeypatch, held, long):
     monkeypatch.setattr(suffix_dedup, "HELD", held)
+    monkeypatch.setattr(suffix_dedup, "LONG", long)
     docs = cases()
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     assert sorted(map(tuple, suffix_dedup.remove_repeats(df).collect()), key=str) == brute(docs, 50)
 
 
+@pytest.mark.parametrize("sample", [1, 10**9])
+def test_a_phrase_of_all_documents(spark, monkeypatch, sample):
+    """One phrase in every text, each time between other words; some texts share more."""
+    monkeypatch.setattr(suffix_dedup, "LONG", 10)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", sample)
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    shared = [words(5) for _ in range(5)]
+    docs = [(i, f"{words(6)} {rng.choice(shared)} and here the phrase that all have {rng.choice(shared)} {words(6)}") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(df).collect()), key=str) == brute(docs, 50)
+
+
 def test_segments_of_long_texts(spark, monkeypatch):
     rng = random.Random(9)
     long = "".join(rng.choice("abcdefgh ") for _ in range(2_500_000))
