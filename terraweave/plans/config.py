@@ -77,6 +77,8 @@ class Config:
     delimiter: str = ","
     quote: str = '"'
     encoding: str = "UTF-8"
+    #: Quoted values of delimited files may hold line breaks; without them large files are split among tasks.
+    multi_line: bool = True
     source_crs: str | None = None
     target_crs: str | None = None
     language: str = "en"

@@ -79,7 +79,7 @@ GEOMETRY_SQL = [
 
 def triples_sql(rows: list[tuple], base: str = POI, source: str = "p", uri: str = U) -> str:
     """``(s, p, o, kind, dt, lang, condition)`` per triple of a record."""
-    parts = [f"SELECT {s} AS s, {p} AS p, {o} AS o, '{k}' AS o_kind, {dt} AS dt, {lang} AS lang FROM q {'WHERE ' + cond if cond else ''}" for s, p, o, k, dt, lang, cond in rows]
+    parts = [f"SELECT {s} AS s, {p} AS p, {o} AS o, '{k}' AS o_kind, {dt}::VARCHAR AS dt, {lang}::VARCHAR AS lang FROM q {'WHERE ' + cond if cond else ''}" for s, p, o, k, dt, lang, cond in rows]
     return f"{base}, q AS (SELECT *, {uri} AS u FROM {source}) " + " UNION ALL ".join(parts)
 
 
@@ -242,7 +242,7 @@ def e18_length(spark, sf_dir):
     return boxes(spark, sf_dir).select("p_partkey", F.round(geometry.length(geometry.parse(F.col("wkt"))), 6).alias("length"))
 
 
-@query(BOX + "SELECT p_partkey, 0.25 AS xmin, 0.5 AS ymin, round(w + 0.25, 6) AS xmax, round(h + 0.5, 6) AS ymax FROM b")
+@query(BOX + "SELECT p_partkey, 0.25::DOUBLE AS xmin, 0.5::DOUBLE AS ymin, round(w + 0.25, 6) AS xmax, round(h + 0.5, 6) AS ymax FROM b")
 def e34_translate(spark, sf_dir):
     moved = geometry.translate(geometry.parse(F.col("wkt")), F.lit(0.25), F.lit(0.5))
     b = geometry.bounds(geometry.parse(geometry.to_wkt(moved)))
@@ -601,7 +601,7 @@ def m31_terms(spark, sf_dir):
 
 
 @query(
-    SCHEME + """, RECURSIVE_TREE AS (SELECT 1) SELECT lpad(coalesce(b.position, a.position)::VARCHAR, 9, '0') || CASE WHEN b.position IS NULL THEN '' ELSE '/' || lpad(a.position::VARCHAR, 9, '0') END AS path,
+    SCHEME + """SELECT lpad(coalesce(b.position, a.position)::VARCHAR, 9, '0') || CASE WHEN b.position IS NULL THEN '' ELSE '/' || lpad(a.position::VARCHAR, 9, '0') END AS path,
  repeat('  ', a.level) || a.name || ' #' || a.id AS line FROM cat a LEFT JOIN cat b ON a.parent_id = b.id"""
 )
 def o2_tree(spark, sf_dir):
@@ -746,20 +746,124 @@ def c6_tag_category(spark, sf_dir):
 def f7_f11_named_tagged(spark, sf_dir):
     rules = osm.parse_rules(RULES_TEXT)
     nodes = filters.named(filters.tagged(_nodes(spark, sf_dir), osm.rule_tags(rules)))
-    found = osm.records(osm.node_points(nodes), nodes.limit(0).select("id", "tags", F.lit("").alias("wkt")), None, rules)
+    found = osm.records(osm.node_points(nodes), nodes.filter("false").select("id", "tags", F.lit("").alias("wkt")), None, rules)
     return filters.with_category(found).filter("category = 'C_THREE'").select("fid", "name", "category")
 
 
 @query(
-    """WITH w AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey % 4 = 0) SELECT k::VARCHAR AS id, 'MULTILINESTRING ((0 ' || k || ', 1 ' || k || '), (2 ' || k || ', 3 ' || k || '))' AS wkt FROM w"""
+    """WITH w AS (SELECT DISTINCT l_orderkey AS k FROM lineitem) SELECT k::VARCHAR AS id, 'MULTILINESTRING ((0 ' || k || ', 1 ' || k || '), (2 ' || k || ', 3 ' || k || '))' AS wkt FROM w"""
 )
 def g3_relation_lines(spark, sf_dir):
-    k = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct().filter("l_orderkey % 4 = 0").select(F.col("l_orderkey").cast("string").alias("k"))
+    k = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct().select(F.col("l_orderkey").cast("string").alias("k"))
     way = lambda n: F.concat(F.lit(f"LINESTRING ({n} "), F.col("k"), F.lit(f", {n + 1} "), F.col("k"), F.lit(")"))
     ways = k.select(F.concat(F.lit("a"), "k").alias("id"), way(0).alias("wkt")).unionByName(k.select(F.concat(F.lit("b"), "k").alias("id"), way(2).alias("wkt")))
     member = lambda p: F.struct(F.concat(F.lit(p), "k").alias("ref"), F.lit("way").alias("type"), F.lit("").alias("role"))
     rel = k.select(F.col("k").alias("id"), F.array(member("a"), member("b")).alias("members"), F.create_map(F.lit("type"), F.lit("multilinestring")).alias("tags"))
-    return osm.relation_geometries(rel, ways.limit(0), ways).select("id", "wkt")
+    return osm.relation_geometries(rel, ways.filter("false"), ways).select("id", "wkt")
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT l_orderkey + 1 AS k FROM lineitem) SELECT k::VARCHAR AS id, CASE WHEN k % 2 = 0 THEN 'POLYGON ((0 0, ' || k || ' 0, ' || k || ' ' || k || ', 0 ' || k || ', 0 0))'
+ ELSE 'GEOMETRYCOLLECTION (LINESTRING (0 0, ' || k || ' 0, ' || k || ' ' || k || '), LINESTRING (0 0, 0 ' || k || ', ' || k || ' ' || k || '))' END AS wkt FROM w"""
+)
+def g4_multipolygon_g6_collection(spark, sf_dir):
+    """Two half squares a relation: stitched to a ring, or in relations of another type a collection."""
+    k = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + 1).alias("k")).distinct()
+    line = lambda *pts: F.concat(F.lit("LINESTRING ("), F.array_join(F.array(*[F.replace(F.lit(p), F.lit("k"), F.col("k").cast("string")) for p in pts]), ", "), F.lit(")"))
+    way = lambda name, wkt: k.select(F.concat(F.lit(name), F.col("k").cast("string")).alias("id"), wkt.alias("wkt"))
+    ways = way("a", line("0 0", "k 0", "k k")).unionByName(way("b", line("0 0", "0 k", "k k")))
+    member = lambda p: F.struct(F.concat(F.lit(p), F.col("k").cast("string")).alias("ref"), F.lit("way").alias("type"), F.lit("outer").alias("role"))
+    kind = F.when(F.col("k") % 2 == 0, "multipolygon").otherwise("route")
+    rel = k.select(F.col("k").cast("string").alias("id"), F.array(member("a"), member("b")).alias("members"), F.create_map(F.lit("type"), kind).alias("tags"))
+    return osm.relation_geometries(rel, ways.filter("false"), ways).select("id", "wkt")
+
+
+@query(NODE + "SELECT 'r' || k AS id, 'POINT (' || lon || ' ' || lat || ')' AS wkt FROM node UNION ALL SELECT 's' || k, 'POINT (' || lon || ' ' || lat || ')' FROM node")
+def j7_members_j8_nested(spark, sf_dir):
+    """A relation of one node each, and a relation of that relation."""
+    nodes = osm.node_points(_nodes(spark, sf_dir))
+    rel = lambda name, below, kind: nodes.select(F.concat(F.lit(name), "id").alias("id"), F.array(F.struct(F.concat(F.lit(below), "id").alias("ref"), F.lit(kind).alias("type"), F.lit("").alias("role"))).alias("members"), F.col("tags"))
+    relations = rel("r", "", "node").unionByName(rel("s", "r", "relation"))
+    none = nodes.filter("false").select("id", "wkt")
+    return osm.relation_geometries(relations, nodes.select("id", "wkt"), none).select("id", "wkt")
+
+
+@query("SELECT 'node/' || p_partkey AS fid, k, v FROM (SELECT p_partkey, unnest(['osm_id', 'name', 'type', 'OSM_Category', 'size', 'kind']) AS k, unnest(['node/' || p_partkey, p_name, 'node', 'node', p_size::VARCHAR, split_part(p_type, ' ', 1)]) AS v FROM part)")
+def m32_augmented_c9_default(spark, sf_dir):
+    nodes = osm.node_points(_nodes(spark, sf_dir))
+    found = osm.records(nodes, nodes.filter("false"), None, None)
+    return osm.augmented(found).select("fid", F.explode("attrs").alias("k", "v"))
+
+
+@query("SELECT p_partkey::VARCHAR AS id FROM part WHERE p_size % 3 <> 0")
+def f12_named(spark, sf_dir):
+    tags = F.when(F.col("p_size") % 3 != 0, F.create_map(F.lit("name"), "p_name")).otherwise(F.create_map(F.lit("size"), F.col("p_size").cast("string")))
+    return filters.named(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), tags.alias("tags"))).select("id")
+
+
+@query(BOX + "SELECT p_partkey FROM b WHERE p_partkey % 3 <> 0")
+def f9_valid_of_kind(spark, sf_dir):
+    """Every third outline lacks its last point."""
+    wkt = F.when(F.col("p_partkey") % 3 == 0, F.lit("POLYGON ((0 0, 1 0, 1 1))")).otherwise(F.col("wkt"))
+    return filters.valid_of_kind(boxes(spark, sf_dir).withColumn("wkt", wkt), "POLYGON").select("p_partkey")
+
+
+@query(POI + "SELECT osm_id FROM p WHERE abs(lon * 1.05) <= 179 AND abs(lat * 1.1) <= 89")
+def f10_in_world(spark, sf_dir):
+    moved = pois(spark, sf_dir).withColumn("x", F.col("lon") * 1.05).withColumn("y", F.col("lat") * 1.1)
+    return filters.in_world(moved, "x", "y").select("osm_id")
+
+
+@query(POI + f"SELECT osm_id, {U} AS uri FROM p")
+def m16_feature_uri(spark, sf_dir):
+    from terraweave.operators.triples import Attributes
+
+    df = pois(spark, sf_dir)
+    return df.select("osm_id", TripleBuilder(CONFIG, None).feature_uri(Attributes(df)).alias("uri"))
+
+
+@query("SELECT doc_id, substr('name:' || lang, 6) AS suffix FROM documents WHERE lang IS NOT NULL")
+def e7_language_suffix(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").filter("lang IS NOT NULL")
+    return df.select("doc_id", text.language_suffix(F.concat(F.lit("name:"), "lang"), len("name:")).alias("suffix"))
+
+
+@query("SELECT n_nationkey, round(jaro_winkler_similarity(upper(n_name), upper(r_name)), 6) AS score FROM nation JOIN region ON n_regionkey = r_regionkey")
+def e31_jaro_winkler(spark, sf_dir):
+    df = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+    return df.select("n_nationkey", F.round(text.similarity(F.upper("n_name"), F.upper("r_name")), 6).alias("score"))
+
+
+@query(POI + "SELECT osm_id, 4326 AS srid, wkt FROM p")
+def e32_crs_prefix(spark, sf_dir):
+    literal = F.concat(F.lit("<http://www.opengis.net/def/crs/EPSG/0/4326> "), F.col("wkt"))
+    srid, wkt = feature_sinks.split_crs(literal)
+    return pois(spark, sf_dir).select("osm_id", srid.alias("srid"), wkt.alias("wkt"))
+
+
+@query(POI + """SELECT '<rdf:Description rdf:about="' || osm_id || '">' || chr(10) || '  <p:kind xmlns:p="http://example.org/def#">' || type || '</p:kind>' || chr(10) || '</rdf:Description>' AS value FROM p""")
+def k2_rdf_xml(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    rows = pois(spark, sf_dir).select(F.col("osm_id").alias("s"), F.lit(ONT + "kind").alias("p"), F.col("type").alias("o"), F.lit("literal").alias("o_kind"), none.alias("dt"), none.alias("lang"))
+    return rdf_sinks.rdf_xml(rows)
+
+
+@query(BOX + "SELECT p_partkey, 'MULTIPOLYGON' AS kind, 2::INT AS rings FROM b")
+def r5_promotion(spark, sf_dir):
+    g = geometry.parse(feature_sinks.promoted(F.col("wkt")))
+    return boxes(spark, sf_dir).withColumn("g", g).select("p_partkey", F.col("g.kind").alias("kind"), F.size(F.col("g.parts")[0]).alias("rings"))
+
+
+@query()
+def k9_shapefile(spark, sf_dir):
+    literal = F.concat(F.lit("<http://www.opengis.net/def/crs/EPSG/0/4326> "), F.col("wkt"))
+    parts = feature_sinks.shapefile_parts(boxes(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("key"), literal.alias("shape")), "shape", "MULTIPOLYGON")
+    return parts.select("part", F.octet_length("shp").alias("shp_bytes"), F.octet_length("dbf").alias("dbf_bytes"))
+
+
+@query()
+def e17_area_in_metres(spark, sf_dir):
+    return boxes(spark, sf_dir).select("p_partkey", geometry.area(crs.flat(geometry.parse(F.col("wkt")))).alias("area"))
 
 
 # Forward, end to end
