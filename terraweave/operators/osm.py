@@ -189,17 +189,22 @@ def _assembled(kinds: pd.Series, members: pd.Series) -> pd.Series:
 
 def relation_geometries(relations: DataFrame, nodes: DataFrame, ways: DataFrame, rounds: int = 2) -> DataFrame:
     """``(id, tags, wkt)``. ``nodes`` and ``ways`` are ``(id, wkt)``. Members that are relations are looked up in the round
-    before, so nesting is followed ``rounds`` deep; members keep the document's order."""
-    members = relations.select("id", F.posexplode("members").alias("pos", "m")).select("id", "pos", "m.ref", "m.type", "m.role")
+    before, so nesting is followed ``rounds`` deep; members keep the document's order. Rounds after the first are
+    for relations that have such members only."""
+    nested = F.exists("members", lambda m: m["type"] == "relation").alias("nested")
+    kinds = relations.select("id", F.try_element_at("tags", F.lit("type")).alias("kind"), F.coalesce(nested, F.lit(False)).alias("nested"))
+    members = relations.select("id", nested, F.posexplode("members").alias("pos", "m")).select("id", "nested", "pos", "m.ref", "m.type", "m.role")
     known = nodes.select(F.lit("node").alias("type"), F.col("id").alias("ref"), "wkt").unionByName(ways.select(F.lit("way").alias("type"), F.col("id").alias("ref"), "wkt"))
 
-    kinds = relations.select("id", F.try_element_at("tags", F.lit("type")).alias("kind"))
-    found = None
-    for _ in range(rounds):
-        all_known = known if found is None else known.unionByName(found.select(F.lit("relation").alias("type"), F.col("id").alias("ref"), "wkt"))
-        placed = members.join(all_known, ["type", "ref"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "wkt"))).alias("m"))
-        found = placed.join(kinds, "id").select("id", _assembled("kind", "m").alias("wkt")).filter("wkt is not null")
-    return relations.join(found, "id").select("id", "tags", "wkt")
+    def assembled(members: DataFrame, known: DataFrame) -> DataFrame:
+        placed = members.join(known, ["type", "ref"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "wkt"))).alias("m"))
+        return placed.join(kinds, "id").select("id", "nested", _assembled("kind", "m").alias("wkt")).filter("wkt is not null")
+
+    found = assembled(members, known)
+    for _ in range(rounds - 1):
+        again = assembled(members.filter("nested"), known.unionByName(found.select(F.lit("relation").alias("type"), F.col("id").alias("ref"), "wkt")))
+        found = found.filter("not nested").unionByName(again)
+    return relations.join(found.select("id", "wkt"), "id").select("id", "tags", "wkt")
 
 
 def records(nodes: DataFrame, ways: DataFrame, relations: DataFrame | None, rules: list[TagRule] | None) -> DataFrame:
