@@ -313,15 +313,27 @@ class Compiler:
         assert b.df is not None
         shared = a.names & b.names
         renamed = b.df.select(*[_col(c).alias(f"r\t{c}") for c in b.df.columns])
-        test = F.lit(True)
-        for v in sorted(shared):
-            same = _col(v) == _col(f"r\t{v}")
-            if v in a.maybe:
-                same = same | _col(v).isNull()
-            if v in b.maybe:
-                same = same | _col(f"r\t{v}").isNull()
-            test = test & same
-        out = a.df.join(renamed, test, "left" if how == "left" else "inner")
+        unsure = sorted(shared & a.maybe)
+
+        def joined(left: DataFrame, loose: bool) -> DataFrame:
+            test = F.lit(True)
+            for v in sorted(shared):
+                same = _col(v) == _col(f"r\t{v}")
+                if v in a.maybe and loose:
+                    same = same | _col(v).isNull()
+                if v in b.maybe:
+                    same = same | _col(f"r\t{v}").isNull()
+                test = test & same
+            return left.join(renamed, test, "left" if how == "left" else "inner")
+
+        if unsure and not shared & b.maybe:
+            # Rows that bind all variables meet by equality; only the others are compatible with any value.
+            sure = F.lit(True)
+            for v in unsure:
+                sure = sure & _col(v).isNotNull()
+            out = joined(a.df.filter(sure), False).unionByName(joined(a.df.filter(~sure), True))
+        else:
+            out = joined(a.df, True)
         keep = []
         for c in a.df.columns:
             base = c.partition("\t")[0]
