@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from terraweave.llm.common import Tables, partitions, without
 from terraweave.llm.components import components
+from terraweave.llm.similar import near_copies
 
 BITS = 3
 SHARED = 8 - BITS
@@ -223,10 +224,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """``df`` with one document of each component, the one with the smallest key.
+    """``df`` with one document of each group of near-duplicates, the one with the smallest key.
 
+    Near-duplicates have a similarity of 0.8 or more, which three bits of a fingerprint cannot find; see ``similar``.
     Of rows that repeat this key one stays. Rows without a key stay, once for each text."""
-    found = near_duplicates(df, key, text, shingle).filter(F.col("component_id") == F.col(key)).select(F.col(key).alias("__tw_key")).distinct()
+    found = near_copies(df, key, text, shingle).filter(F.col("component_id") == F.col(key)).select(F.col(key).alias("__tw_key")).distinct()
     kept = df.join(found, F.col(key) == F.col("__tw_key"), "left")
     kept = kept.filter(F.col("__tw_key").isNotNull() | F.col(key).isNull())
     once = kept.withColumn("__tw_salt", F.when(F.col(key).isNull(), F.xxhash64(text)))
