@@ -6,7 +6,8 @@ Kernel ridge regression, one against the rest, is solved in the span of Nyström
 kernel is an inner product of presence vectors, the landmarks and their coefficients fold to one
 matrix of fixed size, and a batch of whole texts is scored by one matrix product.
 
-Training takes at most SAMPLE labelled rows, chosen by hash and spread evenly over the languages.
+Training takes at most SAMPLE labelled rows, chosen by hash and spread evenly over the languages. Each of SALTS
+parts of a language's hashes gives its share at most.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without training rows
 every text is; repeated rows are judged alike; columns named like the outputs are replaced.
@@ -74,9 +75,9 @@ def train(df: DataFrame, key: str, text: str, lang: str) -> tuple[list[str], np.
     """Learns from the rows of ``df``. Presence vectors are made on the executors and come as bits."""
     by_hash = Window.partitionBy("l").orderBy("h", "k")
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.xxhash64(F.lit(3), key).alias("h"))
-    # First by language and salt, so that what meets for one language is bounded however many rows it has.
+    # First by language and salt, each with its share of the sample, so that about SAMPLE rows meet for one language however many it has.
     salted = Window.partitionBy("l", F.pmod("h", F.lit(SALTS))).orderBy("h", "k")
-    rows = rows.withColumn("n", F.row_number().over(salted)).filter(F.col("n") <= SAMPLE).drop("n")
+    rows = rows.withColumn("n", F.row_number().over(salted)).filter(F.col("n") <= -(-SAMPLE // SALTS)).drop("n")
     chosen = rows.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= SAMPLE).orderBy("n", "l", "h").limit(SAMPLE).select("k", "n", "l")
     texts = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l2")).filter("t is not null")
     picked = texts.join(F.broadcast(chosen), "k").filter("l = l2").select("n", "l", "t")  # SAMPLE rows at most are broadcast
