@@ -101,3 +101,34 @@ def test_nulls_ties_long_texts_and_empty(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 4, 6, 8] and kept.columns == df.columns
     assert similar.near_copies(df.limit(0)).count() == 0
     assert similar.links(Tables(spark), spark.createDataFrame([], "id long, sketch binary, keys array<long>")).count() == 0
+
+
+def near_the_line():
+    """Pairs a little below and a little above a similarity of 0.8: 400 words each, some at one end replaced."""
+    rng = random.Random(5)
+    texts = {}
+    for i in range(120):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+        changed = 40 + i % 10  # 44 changed words of 396 shingles give exactly 0.8
+        texts[2 * i] = " ".join(words)
+        texts[2 * i + 1] = " ".join(words[:-changed] + [f"v{rng.randrange(10**9)}" for _ in range(changed)])
+    return texts
+
+
+@pytest.mark.parametrize("many, wide", [(2000, 1_000_000), (2, 1_000_000), (2000, 500)])
+def test_links_are_verified(spark, monkeypatch, many, wide):
+    monkeypatch.setattr(similar, "MANY", many, raising=False)
+    monkeypatch.setattr(similar, "WIDE", wide, raising=False)
+    texts = near_the_line()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in similar.near_copies(df).collect()}
+    assert got == brute_components(texts, 0.8)
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(120)) == sum(40 + i % 10 <= 44 for i in range(120))
+
+
+def test_rows_stay_in_the_search_until_they_are_verified():
+    """A chain: rows that are similar to their neighbours only, with a stranger among them."""
+    sets = [np.arange(10 * i, 10 * i + 100, dtype=np.uint64) for i in range(8)] + [np.arange(5000, 5100, dtype=np.uint64), np.zeros(0, np.uint64)]
+    order = np.random.default_rng(1).permutation(10)
+    u, v = similar._verified(order, [sets[i] for i in order])
+    assert {(max(a, b), min(a, b)) for a, b in zip(u.tolist(), v.tolist())} == {(i + 1, i) for i in range(7)}
