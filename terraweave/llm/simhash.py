@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from terraweave.llm.common import Tables, partitions, without
 from terraweave.llm.components import components
-from terraweave.llm.similar import near_copies
+from terraweave.llm.similar import kept_rows, text_hash
 
 BITS = 3
 SHARED = 8 - BITS
@@ -227,9 +227,9 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     """``df`` with one document of each group of near-duplicates, the one with the smallest key.
 
     Near-duplicates have a similarity of 0.8 or more, which three bits of a fingerprint cannot find; see ``similar``.
-    Of rows that repeat this key one stays. Rows without a key stay, once for each text."""
-    found = near_copies(df, key, text, shingle).filter(F.col("component_id") == F.col(key)).select(F.col(key).alias("__tw_key")).distinct()
-    kept = df.join(found, F.col(key) == F.col("__tw_key"), "left")
-    kept = kept.filter(F.col("__tw_key").isNotNull() | F.col(key).isNull())
-    once = kept.withColumn("__tw_salt", F.when(F.col(key).isNull(), F.xxhash64(text)))
-    return without(once.dropDuplicates([key, "__tw_salt"]), "__tw_key", "__tw_salt")
+    A row is known by its key and text: other rows of the same key are judged by their own texts, ties of the smallest key go to the
+    smaller hash of the text, and of rows with equal key and text one stays. Of a group's rows without a key one stays as well."""
+    kept = kept_rows(df, key, text, shingle).select(F.col("k").alias("__tw_key"), F.col("t").alias("__tw_t"))
+    hashed = df.withColumn("__tw_hash", text_hash(text))
+    once = hashed.join(kept, F.col(key).eqNullSafe(F.col("__tw_key")) & (F.col("__tw_hash") == F.col("__tw_t")))
+    return without(once.dropDuplicates([key, "__tw_hash"]), "__tw_key", "__tw_t", "__tw_hash")

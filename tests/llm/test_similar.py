@@ -132,3 +132,14 @@ def test_rows_stay_in_the_search_until_they_are_verified():
     order = np.random.default_rng(1).permutation(10)
     u, v = similar._verified(order, [sets[i] for i in order])
     assert {(max(a, b), min(a, b)) for a, b in zip(u.tolist(), v.tolist())} == {(i + 1, i) for i in range(7)}
+
+
+def test_rows_of_one_key_are_judged_by_their_texts(spark):
+    rng = random.Random(9)
+    a, b, c = ([f"w{rng.randrange(10**9)}" for _ in range(200)] for _ in range(3))
+    near = lambda words, i: " ".join([*words[:-3], f"x{i}"])
+    rows = [(1, near(a, 0)), (2, near(a, 1)), (2, near(b, 0)), (3, near(b, 1)), (None, near(c, 0)), (None, near(c, 1)), (None, near(c, 2)), (4, near(b, 0))]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(4)
+    got = simhash.drop_near_duplicates(df).collect()
+    assert {tuple(r) for r in got if r.doc_id} == {rows[0], rows[2]}
+    assert len(got) == 3 and [r.text for r in got if r.doc_id is None][0] in {t for k, t in rows if k is None}
