@@ -24,40 +24,96 @@ from terraweave.llm.common import without
 BITS = 16
 SIZES = (3, 4, 5)
 MAX_LABELLED = 10_000
-
-#: Words of invented hosts and paths, by verdict.
-_ALLOW = """
-docs python-guide tutorial lists wiki open-atlas history rome city-library catalogue maps news morning-post science ocean blog garden-notes planting university physics courses museum painting
-health-service advice sleep recipes bread forum linux-users kernel archive texts essay parliament debates database reference joins hiking trails journal biology articles cells radio programme
-school lessons fractions weather forecast coast railway timetable woodwork chair encyclopedia volcano theatre season observatory etoiles zeitung wissen revista cultura libros grammar verbs magazine
-travel-diary berge books novel foundation report water standards encoding soil compost code parser readme gazette harbour village-council chess-club orchestra botany cinema-review football cycling
+#: Of the squared weights. The best of 1e-2 to 1e-6 over folds of whole words.
+PENALTY = 1e-5
+#: The probability from which a URL is blocked: over the same folds the recall of blocked words is above 0.8 from here down.
+THRESHOLD = 1 / 3
+
+#: Words of hosts and paths by verdict, in English, German, French and Spanish; each line holds the relatives of one idea.
+ALLOWED_WORDS = """
+library bibliothek bibliotheque biblioteca bookshelf
+music musik musique musica concert konzert
+history historia histoire geschichte historic
+science ciencia wissenschaft scientific research recherche
+university universite universidad universitaet campus
+museum museo musee gallery galerie galeria
+garden garten jardin jardinage gardening
+recipe rezept recette receta cooking cocina cuisine
+weather wetter meteo tiempo forecast
+school schule ecole escuela schoolbook
+news noticias nachrichten actualites newspaper zeitung
+health gesundheit sante salud hospital hopital
+travel reisen voyage viajes traveller
+football fussball futbol rugby handball cycling radsport
+politics politik politique politica parliament parlament
+language sprache langue lengua grammar grammatik
+software programming programmieren programmation programacion developer
+mathematics mathematik mathematiques matematicas algebra
+physics physik physique fisica astronomy astronomie
+nature natur naturaleza forest foret bosque wald
+railway bahn chemin ferrocarril station bahnhof
+theatre theater teatro opera ballet
+photography fotografie photographie fotografia camera-club
+community gemeinde commune comunidad village dorf
+article artikel articulo journal essay
+philosophy philosophie filosofia ethics ethik
+economy wirtschaft economie economia statistics statistik
+kitchen-garden bakery baeckerei boulangerie panaderia
+wiki encyclopedia enzyklopaedie encyclopedie enciclopedia
+letters lettres cartas briefe poetry poesie poesia
+biology biologie biologia botany botanik
+weekly wochenblatt hebdo semanario bulletin
 """.split()
-_BLOCK = """
-casino casino-bonus win-cash free-spins poker best-bets betting-odds bets slots jackpot lottery-win roulette adult adult-video porn xxx sex-cams hot-singles escort nude-pics cheap-pills viagra
-online-pharmacy pills buy-now weightloss miracle-diet win-prize claim-prize free-gift giveaway crack keygen serial warez torrent free-download ads adserver ad-banner popup popunder tracker click-track
-ad-pixel redirect fast-loans payday crypto-double forex-signals get-rich replica-watches cheap-rolex verify-account account-login bank-alert spam spam-links link-farm backlinks seo-farm
-clickbait survey-claim hack-tools malware phishing scam essay-writers
+BLOCKED_WORDS = """
+poker pokern pokerroom videopoker
+roulette ruleta roulett blackjack baccarat
+jackpot jackpots slots slotmachine tragamonedas spielautomaten
+kasino kasinos gambling gamble gambler glucksspiel
+betting bettor wetten sportwetten wettbonus apuestas bookmaker bookie
+lotto lottery loteria loterie bingo
+porn porno pornos pornstar pornhd
+sex sexe sexo sexy sexcam sexchat
+erotic erotik erotique erotica erotico
+nude nudes naked nackt desnudas nudist-pics
+escort escorts hookup hookups callgirls fuck
+adultos adulte xxx xxxvideos milfs
+viagra viagras cialis kamagra levitra
+pillen pilules pastillas rxmeds meds pharm-discount
+steroids steroide anabolika weightloss slimming
+payday paydayloans loan loans loanshark kredit-sofort
+bitcoin-doubler cryptodouble forexsignals forexprofit getrich
+replica replicas fakewatches rolexreplica counterfeit
+warez crackz keygen keygens serialz nulled
+torrentz pirated piratemovies camrip
+adserver adclick adclicks popads popunder adbanner
+clicktracker trackingpixel tracker redirector clickbait
+spammer spamming linkfarming backlinks seolinks
+phishing phish malware trojan ransom hackedaccounts
+giveaways freebies prizes gewinnspiel winner-claim
+essaywriters papermill fakediploma fakepassport
 """.split()
-_FRAMES = ("https://www.{}.test/{}", "http://{}.example.com/en/{}", "https://m.{}.example.org/{}.html", "http://blog.{}.test/de/{}/", "https://{}.example.net/fr/{}", "http://news.{}.test/es/{}?page=2")
+#: What hosts of both verdicts are put together with.
+NEUTRAL_WORDS = """online world best my top new 24 club hub zone direct plus pro city land central vip fast full mega super live video chat room
+shark date track buy hot guide data notes house star point box line link net web page group team time day home open""".split()
+_FRAMES = ("http://{}.site/", "https://{}.info/index.php?id={}", "https://portal.{}.eu/view/{}", "http://{}.co/p/{}", "https://{}.xyz/{}", "http://home.{}.biz/page-{}")
 
 
-def _labelled() -> list[tuple[str, int]]:
-    """Every word as a host in two frames with numbers for a path, and as a path of plain hosts. Both verdicts share the
-    frames, so these tell nothing; a URL that tells nothing
-    at all is allowed."""
+def labelled() -> list[tuple[str, int, str]]:
+    """``(url, blocked, word)``: every word as a host alone, with neutral words before and behind it, with the next word of its list, and as
+    a path. Both verdicts share the neutral words and the frames, so these tell nothing; a URL that tells nothing at all is allowed."""
     out = []
-    for words, blocked in ((_ALLOW, 0), (_BLOCK, 1)):
+    for words, blocked in ((ALLOWED_WORDS, 0), (BLOCKED_WORDS, 1)):
         for i, w in enumerate(words):
-            for j in range(2):
-                frame = _FRAMES[(i + 3 * j) % len(_FRAMES)]
-                out.append((frame.format(w, 37 * i % 1000 + j), blocked))
-            out.append((f"https://site{i}.test/{w}/{11 * i % 500}", blocked))
-    out += [(f.format(f"{a}{b}{a}", 91 * i % 1000), 0) for i, f in enumerate(_FRAMES * 4) for a, b in [("bdfglmnr"[i % 8] + "aeiou"[i % 5], "stkrn"[i % 5] + "aeo"[i % 3])]]
-    return out + [("", 0)] * 12
+            near = [NEUTRAL_WORDS[(i * k + k) % len(NEUTRAL_WORDS)] for k in (1, 3, 7)]
+            dash, after = "-" * (i % 2), words[(i + 1) % len(words)]
+            for j, host in enumerate((w, near[0] + dash + w, w + dash + near[1], near[2] + w, w + dash + after)):
+                out.append((_FRAMES[(i + j) % len(_FRAMES)].format(host, 37 * i % 1000), blocked, w))
+            out.append((f"https://server{i * 7 % 90}.site/{w}/{11 * i % 500}", blocked, w))
+    return out + [(f.format(n, 5 * i), 0, n) for i, n in enumerate(NEUTRAL_WORDS) for f in _FRAMES[1:3]] + [("", 0, "")] * 12
 
 
 #: ``(url, blocked)``. All hosts are invented.
-LABELLED = _labelled()
+LABELLED = [(u, b) for u, b, _ in labelled()]
 
 
 def _grams(host: str, path: str) -> np.ndarray:
@@ -85,25 +141,26 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), slash + path
 
 
-def train(labelled: Iterable[tuple[str, int]] = tuple(LABELLED), penalty: float = 0.1, steps: int = 400) -> np.ndarray:
-    """Weights, the last one for the bias, by accelerated gradient descent. The weights are sums of rows, so the
-    steps are made on one number a row."""
+def train(labelled: Iterable[tuple[str, int]] = tuple(LABELLED), penalty: float = PENALTY, steps: int = 600) -> np.ndarray:
+    """Weights, the last one for the bias: the least of the mean logistic loss, both verdicts weighing alike, and ``penalty / 2`` times the squared weights, by
+    accelerated gradient descent. A row's n-grams weigh one over the root of their number."""
     rows = list(labelled)
     if len(rows) > MAX_LABELLED:
         raise ValueError(f"a labelled table has {MAX_LABELLED} rows at most")
-    x = np.zeros((len(rows), (1 << BITS) + 1), np.float32)
+    places = [np.r_[_grams(*split_url(url)), 1 << BITS] for url, _ in rows]
+    sizes = np.array([len(p) for p in places])
+    flat, row = np.concatenate(places), np.repeat(np.arange(len(rows)), sizes)
+    value = 1 / np.sqrt(np.maximum(sizes - 1, 1))[row]
+    value[np.cumsum(sizes) - 1] = 1
     y = np.array([float(b) for _, b in rows])
-    for i, (url, _) in enumerate(rows):
-        at = _grams(*split_url(url))
-        x[i, at] = 1 / np.sqrt(max(len(at), 1))
-    x[:, -1] = 1
-    inner = (x @ x.T).astype(np.float64)
-    w = v = np.zeros(len(rows))
+    share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    w = v = np.zeros((1 << BITS) + 1)
+    step = 1 / (0.5 + penalty)  # a row's squared length is 2 at most, a quarter of which bounds the loss's curvature
     for k in range(steps):
-        p = 1 / (1 + np.exp(-inner @ v))
-        new = v - 2.0 / len(y) * (p - y + penalty * v)
+        p = 1 / (1 + np.exp(-np.bincount(row, value * v[flat], len(rows))))
+        new = v - step * (np.bincount(flat, value * (share * (p - y))[row], len(v)) + penalty * v)
         w, v = new, new + k / (k + 3) * (new - w)
-    return w @ x
+    return w
 
 
 def host_of(url: Column) -> Column:
@@ -125,7 +182,7 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
-def judge(df: DataFrame, rules: dict[str, str], url: str = "url", weights: np.ndarray | None = None, threshold: float = 0.5) -> DataFrame:
+def judge(df: DataFrame, rules: dict[str, str], url: str = "url", weights: np.ndarray | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with ``host``, ``path``, ``rule``, ``score`` (the model's probability of a block; null where a
     rule decides) and ``verdict``."""
     model = train() if weights is None else weights
