@@ -80,7 +80,9 @@ def train(df: DataFrame, key: str, text: str, lang: str) -> tuple[list[str], np.
     rows = rows.withColumn("n", F.row_number().over(salted)).filter(F.col("n") <= -(-SAMPLE // SALTS)).drop("n")
     chosen = rows.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= SAMPLE).orderBy("n", "l", "h").limit(SAMPLE).select("k", "n", "l")
     texts = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l2")).filter("t is not null")
-    picked = texts.join(F.broadcast(chosen), "k").filter("l = l2").select("n", "l", "t")  # SAMPLE rows at most are broadcast
+    # SAMPLE rows at most are broadcast. A chosen row brings one text: where a key stands on several rows, one of each language.
+    picked = texts.join(F.broadcast(chosen), "k").filter("l = l2").groupBy("n", "l").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("one"))
+    picked = picked.select("n", "l", F.col("one.t").alias("t"))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from terraweave.llm import language, queries
@@ -25,6 +26,32 @@ def test_kernel_is_that_of_the_landmarks():
     assert [names[k] for k in (x @ w).argmax(axis=1)] == ["en", "en", "fr", "fr"]
 
 
+def test_ridge_is_that_of_the_landmarks(monkeypatch):
+    """With fewer landmarks than rows against the least squares written out; with all of them against plain kernel ridge regression."""
+    texts = [f"{a} {b} {i}" for i, (a, b) in enumerate([("the cat", "sat down"), ("a dog", "ran off"), ("le chat", "dort bien"), ("un chien", "court vite"), ("der hund", "schläft"), ("die katze", "läuft weg")] * 3)]
+    labels = ["en", "en", "fr", "fr", "de", "de"] * 3
+    x = language.presence(texts).astype(np.float64)
+    k = x @ x.T
+    y = np.where(np.array(labels)[:, None] == np.array(["de", "en", "fr"])[None, :], 1.0, -1.0)
+    for m in (7, len(texts)):
+        monkeypatch.setattr(language, "LANDMARKS", m)
+        names, w = language.fit(x.astype(np.float32), labels)
+        lam = language.RIDGE * len(x)
+        # argmin |K_nm a - y|^2 + lam a' K_mm a
+        a = np.linalg.lstsq(np.vstack([k[:, :m], np.sqrt(lam) * np.linalg.cholesky(k[:m, :m] + 1e-10 * np.eye(m)).T]), np.vstack([y, np.zeros((m, 3))]), rcond=None)[0]
+        assert names == ["de", "en", "fr"] and np.abs(x @ w - k[:, :m] @ a).max() < 1e-3
+    plain = k @ np.linalg.solve(k + lam * np.eye(len(x)), y)
+    assert np.abs(x @ w - plain).max() < 1e-2
+
+
+def test_a_repeated_key_brings_one_text(spark):
+    df = spark.createDataFrame([(1, "the words of this", "en")] * 500 + [(1, "les mots de cette", "fr"), (2, "les mots", "fr")], "doc_id long, text string, lang string")
+    names, weights = language.train(df, "doc_id", "text", "lang")
+    assert names == ["en", "fr"]
+    got = language.predict(df, (names, weights)).groupBy("lang_pred").count().collect()
+    assert {(r.lang_pred, r["count"]) for r in got} == {("en", 500), ("fr", 2)}
+
+
 def test_odd_texts(spark):
     rows = [(1, None, "en"), (2, "", None), (3, "12 + 34", "en"), (4, "the words of this " * 9000, "en"), (5, "les mots de cette", "fr"), (5, "les mots de cette", "fr"), (None, "the words", "en"), (7, "é\ud83d"[:1], None)]
     df = spark.createDataFrame([(k, t, lg, 1.0) for k, t, lg in rows], "doc_id long, text string, lang string, Score double")
