@@ -9,8 +9,8 @@ fractional document at most. These meet in a reduction tree of FAN buckets a nod
 till one document of the source is left, which is rounded at random. So the words taken of a source
 miss its target by less than one document.
 
-Buckets and random numbers come from hashes of the rows, so reruns agree. A source with many
-documents has many buckets; no task holds a source.
+Buckets and random numbers come from hashes of the rows, equal rows told apart by a number, so reruns agree however the rows
+are stored. A source with many documents has many buckets; no task holds a source, nor the copies of one row.
 
 Defined results: a null text has no words; documents without words get their whole copies and a
 rounded fraction; a source without words has target 0; the null source is the last; an empty table
@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraweave.llm.common import WORD, Tables, number_rows, without
+from terraweave.llm.common import WORD, Tables, number_rows, partitions, without
 
 BUCKET = 64
+#: Equal rows that are made anew at once.
+BLOCK = 1 << 16
 FAN = 64
 
 
@@ -120,6 +122,21 @@ def copies_of(tables: Tables, rows: DataFrame, seed: int) -> DataFrame:
     return out.select(*[n for n in names if n not in ("want", "buckets")], "copies")
 
 
+def numbered(tables: Tables, df: DataFrame) -> DataFrame:
+    """``df`` with ``__tw_nth``, which tells equal rows apart.
+
+    Equal rows are counted, aggregated before the shuffle, and made anew from their count, in blocks that
+    are dealt anew, so a row that comes very often is no single task's work.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("__tw_n"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("__tw_n") - 1), F.lit(BLOCK).cast("long"))).alias("__tw_at")
+    dealt = tables.save(counted.select("*", blocks), "counted")
+    if not dealt.filter(F.col("__tw_at") > 0).isEmpty():
+        dealt = dealt.repartition(partitions(df.sparkSession), F.xxhash64(*df.columns, "__tw_at"))
+    last = F.least(F.col("__tw_at") + BLOCK, "__tw_n") - 1
+    return dealt.select(*df.columns, F.explode(F.sequence("__tw_at", last)).alias("__tw_nth"))
+
+
 def mix(df: DataFrame, size: str, source: str, weights: tuple[float, ...] = (3, 1, 2), ratio: float = 1.5, most: float = 2, seed: int = 11) -> DataFrame:
     """``df`` with ``source_size``, ``target``, ``copies`` and ``taken``. Sources in code point order, null last,
     have the given weights, repeating. Bring only the columns that identify a row and these."""
@@ -128,7 +145,7 @@ def mix(df: DataFrame, size: str, source: str, weights: tuple[float, ...] = (3,
     keep = base.columns
     renamed = base.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
     size_c, source_c = f"c{keep.index(size)}", f"c{keep.index(source)}"
-    kept = tables.save(renamed, "rows")
+    kept = tables.save(numbered(tables, renamed), "rows")
     sources = kept.groupBy(F.col(source_c).alias("source")).agg(F.sum(size_c).alias("total"), F.count("*").alias("n"))
     ranked, _ = number_rows(tables, sources, [F.col("source").asc_nulls_last()], "sources", "rank")
     of = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights)).cast("int"))
@@ -139,23 +156,35 @@ def mix(df: DataFrame, size: str, source: str, weights: tuple[float, ...] = (3,
         "rank",
         F.col("total").cast("long").alias("source_size"),
         "target",
-        F.xxhash64(F.lit(seed), *[F.col(c) for c in kept.columns]).alias("__tw_hash"),
+        F.xxhash64(F.lit(seed), *[F.col(c) for c in kept.columns]).alias("__tw_hash"),  # the number among equal rows included
         F.ceil(F.col("n") / BUCKET).cast("long").alias("buckets"),
         F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(F.lit(0.0)).alias("want"),
     )
     done = copies_of(tables, joined, seed)
-    tables.drop("sources", "ranked")
+    tables.drop("sources", "ranked", "counted")
     tables.keep_until_exit()
     out = [F.col(f"c{i}").alias(c) for i, c in enumerate(keep)]
     return done.select(*out, "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix_rows(df: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of ``df`` as the mix has them: each as often as it is taken."""
+def mix_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of ``df`` as the mix has them, each as often as it is taken, in an order that sets copies apart.
+
+    A row is known by its key and the hash of all its columns, so the same rows give the same mix however they are stored; equal
+    rows share their copies. ``df`` is read twice and should be stored.
+    """
     tables = Tables(df.sparkSession)
-    rows = tables.save(df.withColumn("__tw_row", F.monotonically_increasing_id()), "documents")
-    sized = rows.select("__tw_row", words_in(text).alias("__tw_size"), F.col(source).alias("__tw_source"))
-    copies = mix(sized, "__tw_size", "__tw_source", **options).filter("copies > 0").select("__tw_row", F.col("copies").alias("__tw_copies"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    row = F.xxhash64(*columns)
+    sized = df.select(F.col(key).alias("__tw_key"), row.alias("__tw_row"), words_in(text).alias("__tw_size"), F.col(source).alias("__tw_source"))
+    mixed = mix(sized, "__tw_size", "__tw_source", **options).groupBy("__tw_key", "__tw_row")
+    copies = tables.save(mixed.agg(F.sum("copies").alias("__tw_copies"), F.count("*").alias("__tw_n")), "copies")
     tables.keep_until_exit()
-    often = rows.join(copies, "__tw_row").withColumn("__tw_copy", F.explode(F.sequence(F.lit(1).cast("long"), "__tw_copies")))
-    return often.select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.withColumn("__tw_row", row)
+    if not copies.filter(F.col("__tw_n") > 1).isEmpty():
+        rows = rows.dropDuplicates([key, "__tw_row"])
+    wanted = copies.filter(F.col("__tw_copies") > 0).select("__tw_key", F.col("__tw_row").alias("__tw_other"), "__tw_copies")
+    often = rows.join(wanted, (F.col("__tw_row") == F.col("__tw_other")) & F.col(key).eqNullSafe(F.col("__tw_key")))
+    often = often.select(*columns, "__tw_row", F.explode(F.sequence(F.lit(1).cast("long"), "__tw_copies")).alias("__tw_copy"))
+    order = F.xxhash64("__tw_row", "__tw_copy")
+    return often.repartition(partitions(df.sparkSession), order).sortWithinPartitions(order).select(*columns)

@@ -61,12 +61,43 @@ def test_hot_source_nulls_ties_and_levels(spark, monkeypatch):
 
 
 def test_fractions_keep_their_expectation(spark):
-    df = spark.createDataFrame([(i, 10, "a" if i < 40 else "b") for i in range(60)], "doc_id long, size long, source string")
+    """The mean number of copies of each document, over many seeds, is its source's target over its size."""
+    df = spark.createDataFrame([(i, 5 + i % 9, "a" if i < 40 else "b") for i in range(60)], "doc_id long, size long, source string")
+    runs = 40
     total = defaultdict(int)
-    for seed in range(12):
+    for seed in range(runs):
         for r in mixing.mix(df, "size", "source", seed=seed).collect():
-            total[r.source, r.copies] += 1
-    assert total["a", 1] > 0 and total["a", 2] > 0
+            total[r.source, r.doc_id] += r.copies
+            want = r.target / r.source_size
+            assert r.copies in (int(want), int(want) + 1)
+    for source in "ab":
+        want = next(r for r in mixing.mix(df, "size", "source").collect() if r.source == source)
+        want = want.target / want.source_size
+        seen = [n / runs for (s, _), n in total.items() if s == source]
+        spread = (want % 1 * (1 - want % 1) / runs) ** 0.5
+        assert all(abs(n - want) <= 4.5 * spread + 1e-9 for n in seen) and abs(sum(seen) / len(seen) - want) < 0.05
+
+
+def test_mix_is_that_of_the_rows(spark):
+    """Neither partitions nor their order tell which rows are taken; copies lie apart."""
+    rows = [(i, f"{i} " + "w " * (i % 9), "ab"[i % 3 == 0], "x") for i in range(400)] + [(7, "same same", "a", "x")] * 30 + [(None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, Copies string")
+    one, other = (sorted(map(str, mixing.mix_rows(d).collect())) for d in (df.coalesce(1), df.repartition(7, "text")))
+    assert one == other and set(one) <= set(map(str, df.collect()))
+
+
+def test_long_and_null_texts(spark):
+    df = spark.createDataFrame([(1, None, "s"), (2, "w " * 300_000, "s"), (3, "", "s")], "doc_id long, text string, source string")
+    sized = df.select("doc_id", mixing.words_in("text").alias("size"), "source")
+    got = {r.doc_id: r for r in mixing.mix(sized, "size", "source").collect()}
+    assert got[1].taken == got[3].taken == 0 and got[2].size == 300_000 and got[2].taken in (300_000, 600_000)
+
+
+def test_equal_rows_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    df = spark.createDataFrame([(1, 5, "s")] * 100 + [(2, 3, "t")], "doc_id long, size long, source string")
+    got = mixing.mix(df, "size", "source").collect()
+    assert len(got) == 101 and abs(sum(r.taken for r in got if r.source == "s") - got[0].target) <= 5 or got[0].source == "t"
 
 
 def test_rows_of_the_mix(spark):
