@@ -62,7 +62,7 @@ def phone(number: Column, country: Column) -> Column:
     digits = F.regexp_replace(number, r"[^+0-9]", "")
     local = F.substring(digits, 1, 1) == "0"
     national = local & (F.substring(digits, 2, 1) != "0")
-    full = F.when(national, F.concat(F.lit("+"), country, F.substring(digits, 2, 1000))).otherwise(digits)
+    full = F.when(national, F.concat(F.lit("+"), country, F.substr(digits, F.lit(2)))).otherwise(digits)
     full = F.regexp_replace(full, r"^0{1,4}", "+")
     return F.when((digits == "") | local & (F.length(digits) < 2), F.lit(None)).otherwise(F.nullif(full, F.lit("")))
 
@@ -75,7 +75,7 @@ def standard_date(v: Column, pattern: str) -> Column:
 
 def language_suffix(name: Column, base: int) -> Column:
     """What follows the first ``base`` characters of an attribute's name; null if nothing does."""
-    return F.nullif(F.substring(name, base + 1, 1000), F.lit(""))
+    return F.nullif(F.substr(name, F.lit(base + 1)), F.lit(""))
 
 
 _GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a v g d e z i th i k l m n x o p r s s t y f ch ps o".split()))

@@ -207,13 +207,14 @@ def relation_geometries(relations: DataFrame, nodes: DataFrame, ways: DataFrame,
     return relations.join(found.select("id", "wkt"), "id").select("id", "tags", "wkt")
 
 
-def records(nodes: DataFrame, ways: DataFrame, relations: DataFrame | None, rules: list[TagRule] | None) -> DataFrame:
-    """``(fid, name, type, category, wkt, tags)`` of named elements of all three kinds. Without rules the category
+def records(nodes: DataFrame, ways: DataFrame, relations: DataFrame | None, rules: list[TagRule] | None, named_only: bool = False) -> DataFrame:
+    """``(fid, name, type, category, wkt, tags)`` of the elements of all three kinds, ``named_only`` of those with a name. Without rules the category
     is the kind of element; with rules those that match none have no category."""
     parts = [("node", nodes), ("way", ways)] + ([("relation", relations)] if relations is not None else [])
     out = None
     for name, df in parts:
-        df = df.filter(F.map_contains_key("tags", "name"))
+        if named_only:
+            df = df.filter(F.map_contains_key("tags", "name"))
         found = category(rules, F.col("tags")) if rules else F.lit(name)
         own = df.select(
             F.concat(F.lit(f"{name}/"), "id").alias("fid"), F.try_element_at("tags", F.lit("name")).alias("name"), F.lit(name).alias("type"), found.alias("category"), "wkt", "tags"

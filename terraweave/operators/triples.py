@@ -85,7 +85,7 @@ class TripleBuilder:
         if rule and rule.function:
             return F.concat(F.lit(self.config.feature_ns), registry.call(rule.function, rule.args, attrs, self.config))
         if self.mapping:
-            return F.concat(F.lit(self.config.feature_ns), F.uuid())
+            return F.concat(F.lit(self.config.feature_ns), F.uuid(self.config.uuid_seed))
         key = attrs(self.config.key_attr)
         return F.concat(F.lit(self.config.feature_ns), text.uuid_v3(F.concat(F.lit(self.config.source), F.coalesce(key, F.lit("")))))
 
@@ -116,7 +116,7 @@ class TripleBuilder:
         ns, p = self.config.ontology_ns, self.expand(rule.predicate)
         own = F.concat(uri, F.lit("/"), _text(entity))
         if rule.profile.startswith("INSTANCE"):
-            kind = registry.call(rule.type_function, rule.type_args, attrs, self.config) if rule.type_function else F.lit(rule.type)
+            kind = registry.call(rule.type_function, rule.type_args, attrs, self.config) if rule.type_function else F.lit(rule.resource_type)
             link, cls = resource(uri, p, own), resource(own, RDF_TYPE, ns + str(rule.instance))
             typed = triple(own, f"{ns}{rule.instance}Type", kind)
             if rule.profile == "INSTANCE":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from dataclasses import dataclass, field, fields
 
 #: Names in files that differ from the names here; the first is our own.
@@ -77,8 +78,10 @@ class Config:
     delimiter: str = ","
     quote: str = '"'
     encoding: str = "UTF-8"
-    #: Quoted values of delimited files may hold line breaks; without them large files are split among tasks.
-    multi_line: bool = True
+    #: Whether quoted values of delimited files may hold line breaks. Such a file is one task's work; without them large files are split among tasks.
+    multi_line: bool = False
+    #: OSM elements without a name are left out.
+    named_only: bool = False
     source_crs: str | None = None
     target_crs: str | None = None
     language: str = "en"
@@ -86,6 +89,8 @@ class Config:
     partitions: int = 1
     sparql: str | None = None
     jdbc: dict[str, str] = field(default_factory=dict)
+    #: Random identifiers are drawn from it, so that all outputs of a run, and tasks that are run again, have the same.
+    uuid_seed: int = field(default_factory=lambda: secrets.randbits(62))
 
     @property
     def source_srid(self) -> int:

@@ -99,9 +99,34 @@ def compile_filter(text: str, attribute: Callable[[str], Column]) -> Column:
     return out
 
 
-def compile_cql(text: str) -> Column:
-    """A CQL condition: SQL but for its case and spatial words. ``BBOX`` reads ``__x`` and ``__y``."""
-    out = re.sub(r"(?i)\bBBOX\s*\(\s*\w+\s*,([^,]+),([^,]+),([^,)]+),([^)]+)\)", r"(__x BETWEEN \1 AND \3 AND __y BETWEEN \2 AND \4)", text)
+_SPATIAL = re.compile(r"(?i)\b(BBOX|INTERSECTS|WITHIN|CONTAINS|DISJOINT|DWITHIN|BEYOND)\s*\(")
+
+
+def _arguments(text: str, at: int) -> tuple[list[str], int]:
+    """Arguments of a call, its bracket taken, and the place behind it."""
+    out, depth, begin = [], 1, at
+    while depth:
+        if at >= len(text):
+            raise ExpressionError(f"a bracket is open: {text}")
+        c = text[at]
+        depth += (c == "(") - (c == ")")
+        if depth == 0 or depth == 1 and c == ",":
+            out.append(text[begin:at].strip())
+            begin = at + 1
+        at += 1
+    return out, at
+
+
+def compile_cql(text: str) -> tuple[str, dict[str, tuple[str, list[str]]]]:
+    """A CQL condition as SQL, where columns ``__s0``, ``__s1``, .. stand for its spatial words: each with its operator and the
+    arguments behind the geometry's name."""
+    out, at, calls = "", 0, {}
+    while m := _SPATIAL.search(text, at):
+        args, end = _arguments(text, m.end())
+        name = f"__s{len(calls)}"
+        calls[name] = (m[1].upper(), args[1:])
+        out += text[at : m.start()] + name
+        at = end
+    out += text[at:]
     out = re.sub(r"(?i)\bDURING\s+(\S+?)/(\S+)", r"BETWEEN '\1' AND '\2'", out)
-    out = re.sub(r"(?i)\b(\w+)\s+EXISTS\b", r"\1 IS NOT NULL", out)
-    return F.expr(out)
+    return re.sub(r"(?i)\b(\w+)\s+EXISTS\b", r"\1 IS NOT NULL", out), calls

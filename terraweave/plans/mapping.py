@@ -38,6 +38,11 @@ class Rule:
         elif self.entity == "uri":
             self.profile = "URI"
 
+    @property
+    def resource_type(self) -> str | None:
+        """The type, or where none is given what follows the prefix of the predicate."""
+        return self.type if self.type is not None else self.predicate and self.predicate.partition(":")[2] or self.predicate
+
 
 def parse_call(text: str) -> tuple[str, list[str]]:
     m = CALL.match(text.strip())
@@ -90,8 +95,6 @@ def load(text: str) -> Mapping:
             type_function, type_args = None, []
             if kind and kind.startswith("generateWith."):
                 type_function, type_args = parse_call(kind.removeprefix("generateWith."))
-            elif not kind and values.get("instanceOf") and values.get("predicate") and values.get("defaultType"):
-                kind = values["predicate"].rpartition(":")[2]
             rules[key] = Rule(
                 values.get("entity"), values.get("predicate"), kind, values.get("language"), values.get("instanceOf"), values.get("partOf"), values.get("datatype"), function, args, type_function, type_args
             )

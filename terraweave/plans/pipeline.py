@@ -43,7 +43,7 @@ def scan(spark: SparkSession, config: Config, rules: list[osm.TagRule] | None =
         nodes, ways, relations = (binary.osm_pbf if kind == "OSM_PBF" else nested.osm_xml)(spark, paths)
         points, lines = osm.node_points(nodes), osm.way_lines(ways, nodes)
         shapes = osm.relation_geometries(relations, points.select("id", "wkt"), lines.select("id", "wkt"))
-        found = filters.with_category(osm.records(points, lines, shapes, rules))
+        found = filters.with_category(osm.records(points, lines, shapes, rules, config.named_only))
         return osm.augmented(found, config.category_attrs[0] if config.category_attrs else "OSM_Category")
     if kind in ("DBMS", "JDBC"):
         return tabular.jdbc(spark, config)
@@ -134,6 +134,12 @@ def reverse(spark: SparkSession, config: Config) -> DataFrame:
     return sparql.select(triples, text_of(spark, config.sparql or ""))
 
 
+def solution_types(spark: SparkSession, config: Config) -> dict[str, str | None]:
+    """The first datatype that each variable of the configured query has."""
+    triples = as_graph(rdf.read(spark, config.inputs, config.serialization))
+    return sparql.datatypes(triples, text_of(spark, config.sparql or ""))
+
+
 def write_reverse(spark: SparkSession, config: Config, geometry_column: str = "shape") -> None:
     rows, kind = reverse(spark, config), config.format.upper()
     if kind == "CSV":
@@ -143,7 +149,7 @@ def write_reverse(spark: SparkSession, config: Config, geometry_column: str = "s
     else:
         first = rows.filter(F.col(geometry_column) != "").select(feature_sinks.promoted(feature_sinks.split_crs(F.col(geometry_column))[1]).alias("w")).first()
         shape = first["w"].partition("(")[0].strip() if first else "POINT"
-        feature_sinks.write_shapefile(rows, config.output, geometry_column, shape, config.source_srid, config.target_srid)
+        feature_sinks.write_shapefile(rows, config.output, geometry_column, shape, config.source_srid, config.target_srid, kinds=feature_sinks.schema_of(solution_types(spark, config)))
 
 
 def sanity(triples: DataFrame, query: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 from terraweave.plans.sparql import RDF_TYPE
 
+RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 _TOKEN = re.compile(
     r"""\s+|\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<long>\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\")|(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<dir>@prefix|@base|(?i:PREFIX|BASE)\b)|(?P<lang>@[A-Za-z0-9-]+)"""
@@ -20,7 +21,8 @@ def unescape(s: str) -> str:
 
 
 class Reader:
-    def __init__(self, text: str):
+    def __init__(self, text: str, scope: str = ""):
+        self.scope = scope
         self.tokens, at = [], 0
         while at < len(text):
             m = _TOKEN.match(text, at)
@@ -30,6 +32,7 @@ class Reader:
                 self.tokens.append((m.lastgroup, m[0]))
             at = m.end()
         self.at, self.base, self.blank = 0, "", 0
+        self.labels = {v for kind, v in self.tokens if kind == "blank"}
         self.prefixes: dict[str, str] = {}
         self.out: list[Triple] = []
 
@@ -59,11 +62,12 @@ class Reader:
         if kind == "num":
             return "literal", v, XSD + ("double" if "e" in v.lower() else "decimal" if "." in v else "integer"), None
         if v == "[":
-            self.blank += 1
-            own = f"_:b{self.blank}"
+            own = self.fresh()
             self.properties(own, "]")
             self.next()
             return "uri", own, None, None
+        if v == "(":
+            return "uri", self.items(), None, None
         if v == "a":
             return "uri", RDF_TYPE, None, None
         if v in ("true", "false"):
@@ -73,6 +77,31 @@ class Reader:
             return "uri", self.prefixes[prefix] + local, None, None
         raise ValueError(f"no term: {v!r}")
 
+    def fresh(self) -> str:
+        """A label that no label of the text equals."""
+        self.blank += 1
+        while (own := f"_:g{self.scope}x{self.blank}") in self.labels:
+            self.blank += 1
+        return own
+
+    def items(self) -> str:
+        """A collection, its bracket taken: a chain of first and rest."""
+        head = last = None
+        while not self.is_next(")"):
+            kind, value, dt, lang = self.term()
+            own = self.fresh()
+            if last is None:
+                head = own
+            else:
+                self.out.append((last, RDF + "rest", own, "uri", None, None))
+            self.out.append((own, RDF + "first", value, kind, dt, lang))
+            last = own
+        self.next()
+        if last is None:
+            return RDF + "nil"
+        self.out.append((last, RDF + "rest", RDF + "nil", "uri", None, None))
+        return head
+
     def properties(self, subject: str, end: str) -> None:
         while not self.is_next(end):
             predicate = self.term()[1]
@@ -105,5 +134,6 @@ class Reader:
         return self.out
 
 
-def read(text: str) -> list[Triple]:
-    return Reader(text.lstrip("﻿")).read()
+def read(text: str, scope: str = "") -> list[Triple]:
+    """``scope`` goes into the labels of nameless nodes, so that those of several files stay apart."""
+    return Reader(text.lstrip("﻿"), scope).read()

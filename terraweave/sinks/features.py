@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,6 +58,11 @@ def write_csv(rows: DataFrame, path: str, delimiter: str = ",", quote: str | Non
 
 def geojson_geometry(g: Column) -> Column:
     """JSON text of a parsed geometry."""
+    wrapped = lambda t: F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join(t, ","), F.lit("]}"))
+    return geometry.let(F.transform(geometry.each(g), _geojson), lambda t: F.when(geometry.is_collection(g), wrapped(t)).otherwise(t[0]))
+
+
+def _geojson(g: Column) -> Column:
     pair = lambda p: F.concat(F.lit("["), p["x"].cast("string"), F.lit(","), p["y"].cast("string"), F.lit("]"))
     many = lambda xs, f: F.concat(F.lit("["), F.array_join(F.transform(xs, f), ","), F.lit("]"))
     ring = lambda r: many(r, pair)
@@ -80,7 +87,7 @@ def geojson_features(rows: DataFrame, geometry_column: str, source: int = 4326,
     """A feature a line (``value``); rows without a valid geometry are left out."""
     g = crs.transform(geometry.parse(checked_wkt(F.nullif(F.col(geometry_column), F.lit("")), source)), source, target or source)
     others = [c for c in rows.columns if c != geometry_column]
-    found = rows.withColumn("__g", g).filter(is_valid(F.col("__g")))
+    found = rows.withColumn("__g", g).filter(is_valid(F.col("__g"), split_crs(F.col(geometry_column))[1]))
     props = F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in others])) if others else F.lit("{}")
     return found.select(F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":'), geojson_geometry(F.col("__g")), F.lit("}")).alias("value"))
 
@@ -121,56 +128,77 @@ def schema_of(triples_types: dict[str, str | None]) -> dict[str, str]:
 
 
 def encode_shp(wkts: list[str]) -> tuple[bytes, bytes]:
-    """Contents of .shp and .shx for geometries of one kind (point, multilinestring or multipolygon)."""
-    import re
-
-    records, kind = [], 1
+    """Contents of .shp and .shx for geometries of one kind (point, multilinestring or multipolygon), with their box in the headers."""
+    records: list[bytes] = []
+    kind, box = 1, [0.0, 0.0, 0.0, 0.0]
     for w in wkts:
         name = w.partition("(")[0].strip().upper()
         nested = json.loads(re.sub(r"([-+.\deE]+) ([-+.\deE]+)", r"[\1,\2]", w[w.index("(") :]).replace("(", "[").replace(")", "]"))
-        if name == "POINT":
-            records.append(struct.pack("<i2d", 1, *nested[0]))
-            continue
-        rings = [r for member in nested for r in (member if name == "MULTIPOLYGON" else [member])]
-        kind = 5 if name == "MULTIPOLYGON" else 3
-        if kind == 5:
-            turned = []
-            for member in nested:
-                for i, r in enumerate(member):
-                    area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:]))
-                    turned.append(r[::-1] if (area > 0) == (i == 0) else r)
-            rings = turned
+        kind = {"MULTIPOLYGON": 5, "MULTILINESTRING": 3}.get(name, 1)
+        rings = [nested] if kind == 1 else nested if kind == 3 else [_turned(r, i == 0) for member in nested for i, r in enumerate(member)]
         flat = [p for r in rings for p in r]
         xs, ys = [p[0] for p in flat], [p[1] for p in flat]
-        starts, n = [], 0
-        for r in rings:
-            starts.append(n)
-            n += len(r)
-        body = struct.pack("<i4d2i", kind, min(xs), min(ys), max(xs), max(ys), len(rings), n)
-        records.append(body + struct.pack(f"<{len(starts)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in flat))
-    shp, shx, at = b"", b"", 50
+        own = [min(xs), min(ys), max(xs), max(ys)]
+        box = [f(a, b) for f, a, b in zip((min, min, max, max), box, own)] if records else own
+        if kind == 1:
+            records.append(struct.pack("<i2d", 1, *flat[0]))
+            continue
+        starts = list(accumulate(map(len, rings[:-1]), initial=0))
+        body = struct.pack("<i4d2i", kind, *own, len(rings), len(flat)) + struct.pack(f"<{len(starts)}i", *starts)
+        records.append(body + struct.pack(f"<{2 * len(flat)}d", *(v for p in flat for v in p)))
+    shp, shx, at = bytearray(), bytearray(), 50
     for i, r in enumerate(records, 1):
         shp += struct.pack(">2i", i, len(r) // 2) + r
         shx += struct.pack(">2i", at, len(r) // 2)
         at += 4 + len(r) // 2
-    head = lambda words: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<2i8d", 1000, kind, 0, 0, 0, 0, 0, 0, 0, 0)
-    return head(50 + len(shp) // 2) + shp, head(50 + len(shx) // 2) + shx
+    head = lambda words: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<2i8d", 1000, kind, *box, 0, 0, 0, 0)
+    return head(50 + len(shp) // 2) + bytes(shp), head(50 + len(shx) // 2) + bytes(shx)
+
+
+def _turned(ring: list, shell: bool) -> list:
+    """Shells run clockwise, holes against it."""
+    area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))
+    return ring[::-1] if (area > 0) == shell else ring
+
+
+def projection(srid: int) -> str:
+    """The contents of a .prj file."""
+    degrees = 'GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]]'
+    tm = crs._tm(srid)
+    if srid == 4326:
+        return degrees
+    if srid == 3857:
+        return f'PROJCS["EPSG:3857",{degrees},PROJECTION["Mercator_Auxiliary_Sphere"],UNIT["metre",1]]'
+    meridian, scale, east, north = tm if tm else (0.0, 1.0, 0.0, 0.0)
+    parameters = ",".join(f'PARAMETER["{k}",{v}]' for k, v in (("latitude_of_origin", 0), ("central_meridian", meridian), ("scale_factor", scale), ("false_easting", east), ("false_northing", north)))
+    return f'PROJCS["EPSG:{srid}",{degrees},PROJECTION["Transverse_Mercator"],{parameters},UNIT["metre",1]]'
+
+
+def encode_dbf(rows: list[dict[str, str]], names: list[str], kinds: dict[str, str] | None = None) -> bytes:
+    """``kinds``: int and double columns become numeric fields, if all their values are numbers."""
 
+    def numeric(n: str) -> bool:
+        try:
+            return (kinds or {}).get(n) in ("int", "double") and all(float(r.get(n) or 0) is not None for r in rows)
+        except ValueError:
+            return False
 
-def encode_dbf(rows: list[dict[str, str]], names: list[str]) -> bytes:
     widths = [min(254, max([1, *(len((r.get(n) or "").encode()) for r in rows)])) for n in names]
-    fields = b"".join(n.encode()[:10].ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([w, 0]) + b"\0" * 14 for n, w in zip(names, widths))
+    numbers = {n for n in names if numeric(n)}
+    decimals = [max([0, *(len((r.get(n) or "").partition(".")[2]) for r in rows)]) if n in numbers and kinds[n] == "double" else 0 for n in names]
+    fields = b"".join(n.encode()[:10].ljust(11, b"\0") + (b"N" if n in numbers else b"C") + b"\0" * 4 + bytes([w, min(d, 15)]) + b"\0" * 14 for n, w, d in zip(names, widths, decimals))
     head = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(rows), 33 + len(fields), 1 + sum(widths))
-    body = b"".join(b" " + b"".join((r.get(n) or "").encode()[:w].ljust(w) for n, w in zip(names, widths)) for r in rows)
+    cell = lambda r, n, w: (r.get(n) or "").encode()[:w]
+    body = b"".join(b" " + b"".join(cell(r, n, w).rjust(w) if n in numbers else cell(r, n, w).ljust(w) for n, w in zip(names, widths)) for r in rows)
     return head + fields + b"\r" + body + b"\x1a"
 
 
-def shapefile_parts(rows: DataFrame, geometry_column: str, kind: str, source: int = 4326, target: int | None = None) -> DataFrame:
+def shapefile_parts(rows: DataFrame, geometry_column: str, kind: str, source: int = 4326, target: int | None = None, kinds: dict[str, str] | None = None) -> DataFrame:
     """``(part, shp, shx, dbf)``: the files of one shapefile for each partition. Other kinds of geometry and invalid
-    ones are left out."""
+    ones are left out. ``kinds`` as ``schema_of`` gives them."""
     wkt = checked_wkt(F.nullif(F.col(geometry_column), F.lit("")), source)
     g = crs.transform(geometry.parse(wkt), source, target or source)
-    ready = rows.withColumn("__wkt", promoted(geometry.to_wkt(g))).filter(is_valid(g) & (geometry.kind(F.col("__wkt")) == kind.upper())).drop(geometry_column)
+    ready = rows.withColumn("__wkt", promoted(geometry.to_wkt(g))).filter(is_valid(g, split_crs(F.col(geometry_column))[1]) & (geometry.kind(F.col("__wkt")) == kind.upper())).drop(geometry_column)
     names = [c for c in ready.columns if c != "__wkt"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,22 +206,23 @@ def shapefile_parts(rows: DataFrame, geometry_column: str, kind: str, source: in
         if held:
             pdf = pd.concat(held)
             shp, shx = encode_shp(list(pdf["__wkt"]))
-            dbf = encode_dbf(pdf[names].astype(object).where(pdf[names].notna(), "").astype(str).to_dict("records"), names)
+            dbf = encode_dbf(pdf[names].astype(object).where(pdf[names].notna(), "").astype(str).to_dict("records"), names, kinds)
             yield pd.DataFrame([(shp, shx, dbf)], columns=["shp", "shx", "dbf"])
 
     return ready.mapInPandas(run, "shp binary, shx binary, dbf binary").withColumn("part", F.spark_partition_id())
 
 
-def write_shapefile(rows: DataFrame, path: str, geometry_column: str, kind: str, source: int = 4326, target: int | None = None, parts: int = 1) -> None:
+def write_shapefile(rows: DataFrame, path: str, geometry_column: str, kind: str, source: int = 4326, target: int | None = None, parts: int = 1, kinds: dict[str, str] | None = None) -> None:
     """``path-<part>.shp`` and its siblings. The driver writes one partition at a time through Hadoop's file system;
     a shapefile holds 2 GB at most, which bounds a part."""
     spark = rows.sparkSession
     jvm = spark._jvm
-    for r in shapefile_parts(rows.coalesce(parts), geometry_column, kind, source, target).toLocalIterator():
-        for name in ("shp", "shx", "dbf"):
+    for r in shapefile_parts(rows.coalesce(parts), geometry_column, kind, source, target, kinds).toLocalIterator():
+        files = {name: bytes(r[name]) for name in ("shp", "shx", "dbf")} | {"prj": projection(target or source).encode()}
+        for name, content in files.items():
             p = jvm.org.apache.hadoop.fs.Path(f"{path}-{r['part']}.{name}")
             stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
-            stream.write(bytearray(r[name]))
+            stream.write(bytearray(content))
             stream.close()
 
 

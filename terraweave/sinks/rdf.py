@@ -55,7 +55,7 @@ def rdf_xml(triples: DataFrame) -> DataFrame:
     tail = F.concat(F.lit("</p:"), local, F.lit(">"))
     attr = F.when(F.col("lang").isNotNull(), F.concat(F.lit(' xml:lang="'), F.col("lang"), F.lit('"'))).when(F.col("dt").isNotNull(), F.concat(F.lit(' rdf:datatype="'), _xml(F.col("dt")), F.lit('"'))).otherwise(F.lit(""))
     element = F.when(F.col("o_kind") == "uri", F.concat(head, F.lit(' rdf:resource="'), _xml(F.col("o")), F.lit('"/>'))).otherwise(F.concat(head, attr, F.lit(">"), _xml(F.col("o")), tail))
-    subject = F.when(F.col("s").startswith("_:"), F.concat(F.lit('rdf:nodeID="'), F.substring("s", 3, 9999), F.lit('"'))).otherwise(F.concat(F.lit('rdf:about="'), _xml(F.col("s")), F.lit('"')))
+    subject = F.when(F.col("s").startswith("_:"), F.concat(F.lit('rdf:nodeID="'), F.substr(F.col("s"), F.lit(3)), F.lit('"'))).otherwise(F.concat(F.lit('rdf:about="'), _xml(F.col("s")), F.lit('"')))
     made = triples.select(subject.alias("s"), element.alias("e")).distinct().groupBy("s").agg(F.array_join(F.sort_array(F.collect_list("e")), "\n  ").alias("b"))
     return made.select(F.concat(F.lit("<rdf:Description "), F.col("s"), F.lit(">\n  "), F.col("b"), F.lit("\n</rdf:Description>")).alias("value"))
 

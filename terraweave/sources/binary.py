@@ -13,7 +13,13 @@ from pyspark.sql import types as T
 
 from terraweave.sources.nested import FEATURES
 
-SHAPES = {1: "POINT", 3: "MULTILINESTRING", 5: "MULTIPOLYGON", 8: "MULTIPOINT"}
+#: Stored shape types (plain, Z, ZM, M, general) by the plain type whose layout they begin with.
+SHAPES = {
+    1: 1, 9: 1, 11: 1, 21: 1, 52: 1,
+    3: 3, 10: 3, 13: 3, 23: 3, 50: 3,
+    5: 5, 19: 5, 15: 5, 25: 5, 51: 5,
+    8: 8, 20: 8, 18: 8, 28: 8, 53: 8,
+}
 
 
 def _num(v: float) -> str:
@@ -31,8 +37,8 @@ def _area(ring: list[tuple[float, float]]) -> float:
 def shape_wkt(data: bytes, at: int = 0) -> str | None:
     """WKT of one shape record; Z and M variants lose these values. Clockwise rings are shells."""
     (kind,) = struct.unpack_from("<i", data, at)
-    base = kind % 10
-    if kind == 0 or base not in SHAPES:
+    base = SHAPES.get(kind & 0xFF)  # general types keep flags in the upper bits
+    if base is None:
         return None
     if base == 1:
         return "POINT " + _pairs([struct.unpack_from("<2d", data, at + 4)])
@@ -85,7 +91,7 @@ def read_dbf(data: bytes, encoding: str = "utf-8") -> list[dict[str, str]]:
 
 
 def shapefile(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """``features`` of all shapefiles below ``path``; .shp and .dbf meet by their name."""
+    """``features`` of all shapefiles below ``path``, their ids the file's name and the record's number; .shp and .dbf meet by their name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{shp,dbf,SHP,DBF}").load(path)
     files = files.select(F.regexp_replace("path", r"\.\w+$", "").alias("stem"), F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).alias("kind"), "content")
 
@@ -94,7 +100,8 @@ def shapefile(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFr
         if len(parts) < 2:
             raise ValueError(f"{pdf['stem'].iloc[0]} lacks its .shp or .dbf")
         shapes, rows = read_shp(bytes(parts["shp"])), read_dbf(bytes(parts["dbf"]), encoding)
-        return pd.DataFrame([(str(i), w, r) for i, (w, r) in enumerate(zip(shapes, rows))], columns=["fid", "wkt", "attrs"])
+        name = pdf["stem"].iloc[0].rpartition("/")[2]
+        return pd.DataFrame([(f"{name}#{i}", w, r) for i, (w, r) in enumerate(zip(shapes, rows))], columns=["fid", "wkt", "attrs"])
 
     return files.groupBy("stem").applyInPandas(run, FEATURES)
 

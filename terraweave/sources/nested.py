@@ -48,9 +48,17 @@ def flattened(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+def row_id(path: str | list[str], file: Column, number: Column) -> Column:
+    """A record's number; with the name of its file in front where several files, or a folder or pattern of them, are read."""
+    one = isinstance(path, str) or len(path) == 1
+    name = path if isinstance(path, str) else path[0]
+    plain = F.lit(one and "*" not in name) & file.endswith(name.rstrip("/").rpartition("/")[2])
+    return F.when(plain, number.cast("string")).otherwise(F.concat(F.regexp_extract(file, r"([^/]+)$", 1), F.lit("#"), number.cast("string")))
+
+
 def json_file(spark: SparkSession, path: str | list[str], x: str | None = None, y: str | None = None) -> DataFrame:
     """Records are the objects among the children of each file's root, or the elements of its arrays."""
-    whole = spark.read.text(path, wholetext=True)
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
 
     @F.pandas_udf("array<string>")
     def records(text: pd.Series) -> pd.Series:
@@ -65,12 +73,12 @@ def json_file(spark: SparkSession, path: str | list[str], x: str | None = None,
 
         return text.map(one)
 
-    rows = whole.select(F.posexplode(records("value")).alias("n", "record")).withColumn("attrs", flattened("record"))
+    rows = whole.select("file", F.posexplode(records("value")).alias("n", "record")).withColumn("attrs", flattened("record"))
     wkt = F.lit(None).cast("string")
     if x and y:
         a, b = F.try_element_at("attrs", F.lit(x)), F.try_element_at("attrs", F.lit(y))
         wkt = F.when(a.isNotNull() & b.isNotNull(), geometry.point(a, b))
-    return rows.filter(F.size("attrs") > 0).select(F.col("n").cast("string").alias("fid"), wkt.alias("wkt"), "attrs")
+    return rows.filter(F.size("attrs") > 0).select(row_id(path, F.col("file"), F.col("n")).alias("fid"), wkt.alias("wkt"), "attrs")
 
 
 def lines(df: DataFrame, column: str) -> DataFrame:
@@ -78,8 +86,7 @@ def lines(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("attrs", F.from_json(column, "map<string,string>"))
 
 
-def geojson_wkt(g: Column) -> Column:
-    """From ``struct<type, coordinates string>``, the coordinates as JSON text."""
+def _plain_wkt(g: Column) -> Column:
     c = F.regexp_replace(g["coordinates"], r"\s+", "")
     pairs = F.regexp_replace(c, r"\[(-?[\d.eE+-]+),(-?[\d.eE+-]+)(?:,-?[\d.eE+-]+)?\]", "$1 $2")
     body = F.regexp_replace(F.replace(F.replace(pairs, F.lit("["), F.lit("(")), F.lit("]"), F.lit(")")), ",", ", ")
@@ -87,10 +94,19 @@ def geojson_wkt(g: Column) -> Column:
     return F.when(kind == "POINT", F.concat(F.lit("POINT ("), body, F.lit(")"))).otherwise(F.concat(kind, F.lit(" "), body))
 
 
+def geojson_wkt(g: Column, members: Column | None = None) -> Column:
+    """From ``struct<type, coordinates string>``, the coordinates as JSON text; ``members`` are the same of a collection."""
+    if members is None:
+        return _plain_wkt(g)
+    many = F.concat(F.lit("GEOMETRYCOLLECTION ("), F.array_join(F.transform(members, _plain_wkt), ", "), F.lit(")"))
+    return F.when(g["type"] == "GeometryCollection", many).otherwise(_plain_wkt(g))
+
+
 def geojson(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    schema = "features array<struct<id: string, properties: string, geometry: struct<type: string, coordinates: string>>>"
+    own = "type: string, coordinates: string"
+    schema = f"features array<struct<id: string, properties: string, geometry: struct<{own}, geometries: array<struct<{own}>>>>>"
     df = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("features"))
-    return df.select(F.col("id").alias("fid"), geojson_wkt(F.col("geometry")).alias("wkt"), flattened("properties").alias("attrs"))
+    return df.select(F.col("id").alias("fid"), geojson_wkt(F.col("geometry"), F.col("geometry.geometries")).alias("wkt"), flattened("properties").alias("attrs"))
 
 
 def _xml(spark: SparkSession, path: str | list[str], tag: str, schema: str) -> DataFrame:
@@ -175,7 +191,8 @@ def _coords(e: ET.Element) -> list[str]:
             n = _numbers(c.text)
             out += [" ".join(n[i : i + 2]) for i in range(0, len(n) - size + 1, size)]
         elif name == "coord":
-            out.append(" ".join((v.text or "") for v in c)[:64])
+            by_name = {_local(v): (v.text or "").strip() for v in c}
+            out.append(f"{by_name.get('X', '')} {by_name.get('Y', '')}")
     return out
 
 
@@ -249,13 +266,15 @@ def xml_features(spark: SparkSession, path: str | list[str], tag: str) -> DataFr
     """``features`` of every element named ``tag`` (without its prefix), whatever its schema: GML feature members, KML
     placemarks, INSPIRE themes, metadata records. A file is read whole by one task."""
     paths = [path] if isinstance(path, str) else path
+    one = len(paths) == 1 and "." in paths[0].rpartition("/")[2] and "*" not in paths[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for content in pdf["content"]:
+            for file, content in zip(pdf["path"], pdf["content"]):
                 root = ET.fromstring(bytes(content))
                 rows = [xml_feature(ET.tostring(e, encoding="unicode")) for e in root.iter() if _local(e) == tag]
-                rows = [(fid or f"{tag}{i}", wkt, attrs) for i, (fid, wkt, attrs) in enumerate(rows)]
+                own = "" if one else file.rpartition("/")[2] + "#"
+                rows = [(fid or f"{own}{tag}{i}", wkt, attrs) for i, (fid, wkt, attrs) in enumerate(rows)]
                 yield pd.DataFrame(rows, columns=["fid", "wkt", "attrs"])
 
-    return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(run, FEATURES)
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, FEATURES)

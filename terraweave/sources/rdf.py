@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,38 +15,48 @@ from terraweave.plans import turtle
 from terraweave.plans.sparql import RDF_TYPE
 
 SCHEMA = "s string, p string, o string, o_kind string, dt string, lang string"
-_NODE = r"(?:<([^>]*)>|(_:\S+))"
-_LINE = rf"^\s*{_NODE}\s+<([^>]*)>\s+(?:{_NODE}|\"((?:[^\"\\]|\\.)*)\"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*$"
+_NODE = r"(?:<([^>]*)>|(_:[^\s<]+?))"
+_LINE = rf"^\s*{_NODE}\s*<([^>]*)>\s*(?:{_NODE}|\"((?:[^\"\\]|\\.)*)\"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$"
 RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
 XML_LANG = "{http://www.w3.org/XML/1998/namespace}lang"
 
 
 def _unescaped(c):
-    """The usual escapes natively; a line with ``\\u`` is left to Python by the reader."""
+    """All escapes of the format, ``\\u`` and ``\\U`` by their code units."""
     out = F.replace(c, F.lit("\\\\"), F.lit("\x00"))
-    for a, b in (('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r")):
+    for a, b in (('\\"', '"'), ("\\'", "'"), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\b", "\b"), ("\\f", "\f")):
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.replace(out, F.lit("\x00"), F.lit("\\"))
+    return F.replace(_decoded(out), F.lit("\x00"), F.lit("\\"))
+
+
+def _decoded(c):
+    def piece(x):
+        code = lambda n, charset: F.concat(F.decode(F.unhex(F.substring(x, 3, n)), charset), F.substr(x, F.lit(3 + n)))
+        return F.when(F.rlike(x, F.lit(r"^\\u[0-9A-Fa-f]{4}")), code(4, "UTF-16BE")).when(F.rlike(x, F.lit(r"^\\U[0-9A-Fa-f]{8}")), code(8, "UTF-32")).otherwise(x)
+
+    coded = F.array_join(F.transform(F.split(c, r"(?=\\[uU])"), piece), "")
+    return F.when(c.contains("\\u") | c.contains("\\U"), coded).otherwise(c)
 
 
 def ntriples(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines, split natively; comments and lines that are no triple are left out."""
-    lines = spark.read.text(path)
+    """Lines, split natively. Comments and blank lines are passed over; any other line that is no triple is an error."""
+    lines = spark.read.text(path).filter(~F.rlike("value", F.lit(r"^\s*(#.*)?$")))
     g = lambda i: F.nullif(F.regexp_extract("value", _LINE, i), F.lit(""))
-    parsed = lines.filter(F.rlike("value", F.lit(_LINE)))
+    bad = F.raise_error(F.concat(F.lit("not a triple: "), F.col("value"))).cast("string")
+    parsed = lines.select(F.when(F.rlike("value", F.lit(_LINE)), F.col("value")).otherwise(bad).alias("value"))
     uri = F.coalesce(g(4), g(5))
     return parsed.select(
-        F.coalesce(g(1), g(2)).alias("s"),
-        g(3).alias("p"),
-        F.coalesce(uri, _unescaped(F.regexp_extract("value", _LINE, 6))).alias("o"),
+        _decoded(F.coalesce(g(1), g(2))).alias("s"),
+        _decoded(g(3)).alias("p"),
+        F.coalesce(_decoded(uri), _unescaped(F.regexp_extract("value", _LINE, 6))).alias("o"),
         F.when(uri.isNotNull(), "uri").otherwise("literal").alias("o_kind"),
         g(7).alias("dt"),
         g(8).alias("lang"),
     )
 
 
-def read_rdf_xml(content: str) -> list[turtle.Triple]:
-    """Node and property elements, typed nodes, resources, literals, nested nodes."""
+def read_rdf_xml(content: str, scope: str = "") -> list[turtle.Triple]:
+    """Node and property elements, typed nodes, resources, literals, nested nodes. ``scope`` tells the nameless nodes of files apart."""
     out: list[turtle.Triple] = []
     blank = 0
 
@@ -56,7 +68,7 @@ def read_rdf_xml(content: str) -> list[turtle.Triple]:
         s = e.get(f"{RDF}about") or e.get(f"{RDF}ID") and "#" + e.get(f"{RDF}ID", "") or e.get(f"{RDF}nodeID") and "_:" + e.get(f"{RDF}nodeID", "")
         if not s:
             blank += 1
-            s = f"_:x{blank}"
+            s = f"_:x{scope}x{blank}"
         if e.tag != f"{RDF}Description":
             out.append((s, RDF_TYPE, name(e.tag), "uri", None, None))
         for p in e:
@@ -81,13 +93,18 @@ def whole_files(spark: SparkSession, path: str | list[str], serialization: str)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for content in pdf["content"]:
-                yield pd.DataFrame(read(bytes(content).decode("utf-8-sig")), columns=["s", "p", "o", "o_kind", "dt", "lang"])
+            for file, content in zip(pdf["path"], pdf["content"]):
+                yield pd.DataFrame(read(bytes(content).decode("utf-8-sig"), f"{zlib.crc32(file.encode()):08x}"), columns=["s", "p", "o", "o_kind", "dt", "lang"])
 
     paths = [path] if isinstance(path, str) else path
-    return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(run, SCHEMA)
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, SCHEMA)
 
 
 def read(spark: SparkSession, path: str | list[str], serialization: str = "N-TRIPLES") -> DataFrame:
+    """Triples of one dataset, or of several: labels of blank nodes hold within a dataset, so those of each path of a list get its number."""
     kind = serialization.upper()
+    if isinstance(path, list) and len(path) > 1:
+        own = lambda c, i: F.when(F.col(c).startswith("_:"), F.concat(F.lit(f"_:d{i}x"), F.substr(F.col(c), F.lit(3)))).otherwise(F.col(c)).alias(c)
+        of = lambda i, p: read(spark, p, kind).select(own("s", i), "p", F.when(F.col("o_kind") == "uri", own("o", i)).otherwise(F.col("o")).alias("o"), "o_kind", "dt", "lang")
+        return reduce(DataFrame.unionByName, [of(i, p) for i, p in enumerate(path)])
     return ntriples(spark, path) if kind in ("N-TRIPLES", "NT", "N-TRIPLE") else whole_files(spark, path, kind)

@@ -34,7 +34,9 @@ def csv(spark: SparkSession, paths: list[str], config: Config) -> DataFrame:
 
     def one(path: str) -> DataFrame:
         reader = spark.read.option("header", True).option("sep", config.delimiter).option("quote", config.quote or "\0").option("escape", config.quote or "\0")
-        df = reader.option("multiLine", config.multi_line).option("encoding", encoding_of(spark, path, config.encoding)).csv(path)
+        encoding = encoding_of(spark, path, config.encoding)
+        whole = config.multi_line or encoding.upper().startswith("UTF-16")  # Spark splits files at single bytes
+        df = reader.option("multiLine", whole).option("encoding", encoding).csv(path)
         return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(one, paths))

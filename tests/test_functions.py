@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraweave.functions import crs, geometry, text
-from terraweave.operators.filters import is_valid
+from terraweave.operators.filters import crosses_itself, is_valid
 
 
 def one(spark, *columns):
@@ -65,6 +65,37 @@ def test_contains_and_validity(spark):
     assert one(spark, *[is_valid(g(w)) for w in (SQUARE, "POLYGON ((0 0, 1 1, 0 0))", "LINESTRING (1 1, 1 1)", "POINT (1 1)")]) == (True, False, False, True)
 
 
+def test_extents_with_notches_and_holes(spark):
+    notch = "POLYGON ((0 0, 10 0, 10 10, 6 10, 6 4, 4 4, 4 10, 0 10, 0 0))"
+    hole = "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))"
+    got = [geometry.contains(e, g(w)) for e, w in ((notch, "LINESTRING (1 9, 9 9)"), (notch, "LINESTRING (1 1, 9 1)"), (hole, "POLYGON ((1 1, 9 1, 9 9, 1 9, 1 1))"), (hole, "POLYGON ((1 1, 3 1, 3 3, 1 1))"))]
+    assert one(spark, *got) == (False, True, False, True)
+
+
+def test_collections(spark):
+    wkt = "GEOMETRYCOLLECTION (POINT (1.0 2.0), MULTIPOLYGON (((0.0 0.0, 4.0 0.0, 4.0 4.0, 0.0 4.0, 0.0 0.0)), ((9.0 9.0, 10.0 9.0, 10.0 10.0, 9.0 9.0))), LINESTRING (0.0 0.0, 3.0 4.0))"
+    c = g(wkt)
+    assert one(spark, geometry.to_wkt(c), geometry.area(c), geometry.length(c)) == (wkt, 16.5, pytest.approx(16 + 2 + 2**0.5 + 5))
+    assert one(spark, geometry.to_wkt(g("GEOMETRYCOLLECTION (GEOMETRYCOLLECTION (POINT (1 2)), POINT (3 4))")))[0] == "GEOMETRYCOLLECTION (POINT (1.0 2.0), POINT (3.0 4.0))"
+    assert one(spark, geometry.bounds(c))[0].asDict() == {"xmin": 0, "ymin": 0, "xmax": 10, "ymax": 10}
+    x = one(spark, geometry.centroid(c))[0].x
+    assert x == pytest.approx((16 * 2 + 0.5 * (9 + 10 + 10) / 3) / 16.5)
+    assert one(spark, is_valid(c), is_valid(g("GEOMETRYCOLLECTION (POINT (1 2), LINESTRING (1 1, 1 1))"))) == (True, False)
+
+
+def test_self_crossing(spark):
+    texts = ["POLYGON ((0 0, 2 2, 2 0, 0 2, 0 0))", "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))", "POINT (1 1)", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 7 7, 7 5, 5 8, 5 5)))", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 6 1, 6 2, 1 2, 1 1))", None]
+    df = spark.createDataFrame([(t,) for t in texts], "w string")
+    assert [r[0] for r in df.select(crosses_itself("w")).collect()] == [True, False, False, True, True, False]
+
+
+def test_intersections_and_distances(spark):
+    box = "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))"
+    cases = [("POINT (1 1)", True), ("POINT (5 5)", False), ("LINESTRING (-1 2, 9 2)", True), ("POLYGON ((-9 -9, 9 -9, 9 9, -9 9, -9 -9))", True), ("LINESTRING (5 0, 5 9)", False)]
+    assert one(spark, *[geometry.intersects(g(w), box) for w, _ in cases]) == tuple(v for _, v in cases)
+    assert one(spark, geometry.distance(g("LINESTRING (0 0, 0 9)"), [(3, 4)]), geometry.distance(g(box), [(1, 1)]), geometry.distance(g("POINT (3 4)"), [(0, 0)])) == (3.0, 0.0, 5.0)
+
+
 def test_reference_systems(spark):
     def at(x, y, source, target):
         p = one(spark, crs.transform_point(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")), source, target))[0]

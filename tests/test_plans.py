@@ -167,7 +167,7 @@ P = "PREFIX e: <http://e/> "
         (P + "SELECT ?m { e:a e:knows ?k . ?k e:name ?m } ORDER BY DESC(?m)", [("blank",), ('B "q"',)]),
         (P + "SELECT (SUM(?g) AS ?t) (COUNT(*) AS ?n) { ?x e:age ?g }", [("12.0", "2")]),
         (P + "SELECT ?x { ?x e:name ?n FILTER(!BOUND(?z) || ?n = 'x') } LIMIT 1 OFFSET 9", None),
-        (P + "SELECT DISTINCT ?x { { ?x e:age ?g } UNION { ?x e:name ?n } } ORDER BY ?x", [("_:b1",), ("http://base/c",), ("http://e/a",), ("http://e/b",)]),
+        (P + "SELECT DISTINCT ?x { { ?x e:age ?g } UNION { ?x e:name ?n } } ORDER BY ?x", [("_:gx1",), ("http://base/c",), ("http://e/a",), ("http://e/b",)]),
         (P + "SELECT ?x { ?x e:age ?g FILTER(?g >= 6 && isIRI(?x)) }", [("http://base/c",)]),
         (P + "SELECT ?d { ?x e:age ?g FILTER(DATATYPE(?g) = 'http://e/int') OPTIONAL { ?x e:none ?d } }", [("",)]),
         (P + "SELECT ?n ?g { OPTIONAL { ?x e:age ?g } OPTIONAL { ?x e:name ?n } } ORDER BY ?n", [("", "7"), ("A", "5"), ("Ah", "5")]),

@@ -99,7 +99,8 @@ def test_osm(spark, tmp_path):
     shapes = {r.id: r.wkt for r in osm.relation_geometries(relations, osm.node_points(nodes), lines).collect()}
     want = "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 2 1, 2 2, 1 1))"
     assert shapes == {"20": want, "21": want}
-    got = scan(spark, Config(format="OSM_XML", inputs=[p])).collect()
+    assert {r.fid for r in scan(spark, Config(format="OSM_XML", inputs=[p])).collect()} >= {"node/1", "node/2", "way/11", "relation/20"}
+    got = scan(spark, Config(format="OSM_XML", inputs=[p], named_only=True)).collect()
     assert sorted(r.fid for r in got) == ["node/1", "relation/20", "relation/21", "way/10"] and got[0].attrs["osm_id"] == got[0].fid
     rules = osm.parse_rules("amenity=\n  =cafe EAT_CAFE\n")
     assert [r.attrs["OSM_Category"] for r in scan(spark, Config(format="OSM_XML", inputs=[p]), rules).collect()] == ["EAT_CAFE"]
