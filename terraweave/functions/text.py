@@ -82,11 +82,10 @@ _GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a v g d
 _CYRILLIC = dict(
     zip("абвгдежзийклмнопрстуфхцчшщъыьэюяіїєґ", "a b v g d e z z i j k l m n o p r s t u f h c c s s ʺ y ʹ e u a i i e g".split())
 )
-_OTHER = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "þ": "th", "ı": "i"}
 
 
 def _latin_of(c: str) -> str:
-    table = _GREEK | _CYRILLIC | _OTHER
+    table = _GREEK | _CYRILLIC
     low = c.lower()
     if low in table:
         out = table[low]
@@ -95,7 +94,7 @@ def _latin_of(c: str) -> str:
 
 
 def to_latin(text: str | None) -> str | None:
-    """Letters in Latin script without accents; scripts other than Greek and Cyrillic stay."""
+    """Letters in Latin script without accents, Latin ones that are no accented letter as they are; scripts other than Greek and Cyrillic stay."""
     if text is None:
         return None
     if text.isascii():

@@ -100,6 +100,12 @@ def with_parent(categories: DataFrame) -> DataFrame:
     return categories.join(parents, F.col("parent_id") == F.col("__parent"), "left").drop("__parent")
 
 
+def by_id(df: DataFrame, key: str, categories: DataFrame) -> DataFrame:
+    """``df`` with the ``name`` of the first category, in the file's order, whose id is in column ``key``."""
+    first = categories.groupBy(F.col("id").alias("__found")).agg(F.min_by("name", "position").alias("name"))
+    return df.join(first, F.col(key) == F.col("__found"), "left").drop("__found")
+
+
 def best_tag(name: Column, dictionary: dict[str, list[str]], digits: int | None = None) -> Column:
     """``struct<category, score>``: the dictionary's category with the tag most like a name. Ties go to
     the first in alphabetical order. The dictionary is a file of a few hundred lines and goes along

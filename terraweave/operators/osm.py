@@ -92,12 +92,17 @@ def scheme_rows(categories: list[str]) -> list[tuple[str, str, str, str]]:
     return out
 
 
+def referenced(nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """The nodes that some way refers to."""
+    return nodes.join(ways.select(F.explode("refs").alias("__ref")), F.col("id") == F.col("__ref"), "left_semi")
+
+
 def way_lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(id, tags, wkt)``: the nodes of each way in order; nodes that are missing are passed over.
 
     Only nodes that some way refers to are kept for the join. References are grouped by way."""
     refs = ways.select("id", F.posexplode("refs").alias("pos", "ref"))
-    used = nodes.select(F.col("id").alias("ref"), "lon", "lat").join(refs.select("ref"), "ref", "left_semi")
+    used = referenced(nodes, ways).select(F.col("id").alias("ref"), "lon", "lat")
     placed = refs.join(used, "ref").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "lon", "lat"))).alias("p"))
     pairs = F.transform("p", lambda p: F.concat_ws(" ", p["lon"].cast("string"), p["lat"].cast("string")))
     wkt = F.when(F.size("p") > 1, F.concat(F.lit("LINESTRING ("), F.array_join(pairs, ", "), F.lit(")"))).otherwise(geometry.point(F.col("p")[0]["lon"], F.col("p")[0]["lat"]))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraweave.functions import crs, geometry
+from terraweave.functions import crs, geometry, text
 from terraweave.operators import classification, filters, osm, stats
 from terraweave.operators.triples import Attributes, TripleBuilder, as_graph
 from terraweave.plans import mapping, sparql
@@ -157,16 +157,26 @@ def sanity(triples: DataFrame, query: str | None = None) -> DataFrame:
     return sparql.select(triples, query) if query else triples.agg(F.count("*").alias("triples"), F.count_distinct("s").alias("subjects"), F.count_distinct("p").alias("predicates"))
 
 
-def synthetic(features: DataFrame, copies: int, dx: float, dy: float, key: str = "fid", seed: int = 1, names: str | None = None) -> DataFrame:
+def synthetic(features: DataFrame, copies: int, dx: float, dy: float, key: str = "fid", seed: int = 1, names: str | None = None, erase: dict[str, float] | None = None) -> DataFrame:
     """Shifted copies of features, suffixed ids; values are decided by hashes, so reruns agree. Copies outside the
-    world are left out. ``names``: a column whose longer values lose one letter."""
+    world are left out. ``names``: a column of which values are put in Latin letters and longer ones lose a letter. ``erase``: columns and the share of
+    their values that become null."""
     many = features.withColumn("__n", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    part = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(key), F.col("__n")), F.lit(1000)) / 1000.0
+    plain = F.col(key)
+
+    def part(salt: int) -> Column:
+        """A thousandth from 0 to 0.999, by hash."""
+        h = F.md5(F.concat(F.lit(f"{seed}/{salt}/"), plain, F.lit("/"), F.col("__n").cast("string")))
+        return (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % 1000) / 1000.0
+
     moved = geometry.translate(geometry.parse(F.col("wkt")), F.lit(dx) * part(1), F.lit(dy) * part(2))
     out = many.withColumn("__g", moved).withColumn("__c", geometry.centroid(F.col("__g"))).filter((F.abs("__c.x") <= 179) & (F.abs("__c.y") <= 89))
-    out = out.withColumn("wkt", geometry.to_wkt(F.col("__g"))).withColumn(key, F.concat(key, F.lit("_part"), F.col("__n").cast("string")))
+    out = out.withColumn("wkt", geometry.to_wkt(F.col("__g")))
+    for i, (name, share) in enumerate((erase or {}).items()):
+        out = out.withColumn(name, F.when(part(10 + i) >= share, F.col(name)))
     if names:
+        out = out.withColumn(names, text.transliterate(F.col(names)))
         at = (F.floor(part(3) * F.length(names)) + 1).cast("int")
         cut = F.concat(F.substring(F.col(names), F.lit(1), at - 1), F.substring(F.col(names), at + 1, F.length(names)))
         out = out.withColumn(names, F.when(F.length(names) > 5, cut).otherwise(F.col(names)))
-    return out.drop("__n", "__g", "__c")
+    return out.withColumn(key, F.concat(key, F.lit("_part"), F.col("__n").cast("string"))).drop("__n", "__g", "__c")

@@ -292,7 +292,7 @@ def _value(key: str, predicate: str, value: str, dt: str = "NULL", lang: str = "
     return ("u", f"'{predicate}'", value, kind, dt, lang, has(key))
 
 
-NAME_INSTANCE = "name:\n  instanceOf: name\n  entity: name\n  predicate: own:name\n  type: official\n"
+NAME_INSTANCE = INSTANCE_NAME = "name:\n  instanceOf: name\n  entity: name\n  predicate: own:name\n  type: official\n"
 
 
 def instance_rows(language: str | None = None) -> list[tuple]:
@@ -515,12 +515,6 @@ def k10_geojson(spark, sf_dir):
     return feature_sinks.geojson_features(pois(spark, sf_dir).select("osm_id", "wkt"), "wkt")
 
 
-@query("SELECT 'N' || s_suppkey AS key, s_name AS name FROM supplier UNION ALL SELECT 'N' || c_custkey, c_name FROM customer")
-def u1_union(spark, sf_dir):
-    a = table(spark, sf_dir, "supplier").select(F.expr("concat('N', s_suppkey)").alias("key"), F.col("s_name").alias("name"))
-    return a.unionByName(table(spark, sf_dir, "customer").select(F.expr("concat('N', c_custkey)").alias("key"), F.col("c_name").alias("name")))
-
-
 # Classification: regions and nations as a scheme of two tiers
 
 
@@ -534,11 +528,6 @@ SCHEME = f"""WITH cat AS (SELECT *, {uuid_sql('id || name')} AS uuid FROM (SELEC
  UNION ALL SELECT 'N' || n_nationkey, n_name, 'R' || n_regionkey, 1, 100 + n_nationkey FROM nation)) """
 
 
-@query(SCHEME + "SELECT id, name, parent_id, level, uuid FROM cat")
-def c1_scheme(spark, sf_dir):
-    return scheme(spark, sf_dir).select("id", "name", "parent_id", "level", "uuid")
-
-
 def _classified(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").selectExpr("n_nationkey nation", "n_name fine", "n_regionkey rk")
     region = table(spark, sf_dir, "region").selectExpr("r_regionkey rk", "r_name coarse")
@@ -633,11 +622,14 @@ def s5_flatten(spark, sf_dir):
     return df.select("event_id", F.explode("attrs").alias("k", "v"))
 
 
-@query("SELECT conv_id, 'turns.' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || '.role' AS k, role AS v FROM conversations WHERE role IS NOT NULL")
+@query(
+    """WITH t AS (SELECT conv_id, turn, role, 'turns.' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS pre FROM conversations WHERE role IS NOT NULL)
+ SELECT conv_id, pre || '.role' AS k, role AS v FROM t UNION ALL SELECT conv_id, pre || '.turn', turn::VARCHAR FROM t"""
+)
 def s5_flatten_arrays(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").filter("role IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("turns"))
     flat = turns.select("conv_id", nested.flattened(F.to_json(F.struct("turns"))).alias("a"))
-    return flat.select("conv_id", F.explode("a").alias("k", "v")).filter("k LIKE '%.role'")
+    return flat.select("conv_id", F.explode("a").alias("k", "v"))
 
 
 @query(POI + "SELECT osm_id, wkt FROM p")
@@ -725,12 +717,6 @@ def g2_way_geometry(spark, sf_dir):
     return osm.way_lines(_ways(spark, sf_dir), _nodes(spark, sf_dir)).select("id", "wkt")
 
 
-@query("SELECT p_partkey::VARCHAR AS id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
-def j9_semi(spark, sf_dir):
-    refs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("id"))
-    return _nodes(spark, sf_dir).join(refs, "id", "left_semi").select("id")
-
-
 RULES_TEXT = "kind=\n  =STANDARD A_STANDARD\n  =PROMO\n    size=\n      =1 B_ONE\n      =2 B_TWO\nsize=3 C_THREE\n"
 
 
@@ -742,12 +728,15 @@ def c6_tag_category(spark, sf_dir):
     return _nodes(spark, sf_dir).select("id", osm.category(osm.parse_rules(RULES_TEXT), F.col("tags")).alias("category"))
 
 
-@query("SELECT 'node/' || p_partkey AS fid, p_name AS name, 'C_THREE' AS category FROM part WHERE p_size = 3 AND split_part(p_type, ' ', 1) NOT IN ('STANDARD')")
+@query(
+    """WITH k AS (SELECT p_partkey, p_name, p_size, split_part(p_type, ' ', 1) AS kind FROM part), c AS (SELECT 'node/' || p_partkey AS fid, p_name AS name, CASE WHEN kind = 'STANDARD' THEN 'A_STANDARD' WHEN kind = 'PROMO' AND p_size = 1 THEN 'B_ONE'
+ WHEN kind = 'PROMO' AND p_size = 2 THEN 'B_TWO' WHEN p_size = 3 THEN 'C_THREE' END AS category FROM k) SELECT * FROM c WHERE category IS NOT NULL"""
+)
 def f7_f11_named_tagged(spark, sf_dir):
     rules = osm.parse_rules(RULES_TEXT)
     nodes = filters.named(filters.tagged(_nodes(spark, sf_dir), osm.rule_tags(rules)))
     found = osm.records(osm.node_points(nodes), nodes.filter("false").select("id", "tags", F.lit("").alias("wkt")), None, rules)
-    return filters.with_category(found).filter("category = 'C_THREE'").select("fid", "name", "category")
+    return filters.with_category(found).select("fid", "name", "category")
 
 
 @query(
@@ -854,13 +843,6 @@ def r5_promotion(spark, sf_dir):
     return boxes(spark, sf_dir).withColumn("g", g).select("p_partkey", F.col("g.kind").alias("kind"), F.size(F.col("g.parts")[0]).alias("rings"))
 
 
-@query()
-def k9_shapefile(spark, sf_dir):
-    literal = F.concat(F.lit("<http://www.opengis.net/def/crs/EPSG/0/4326> "), F.col("wkt"))
-    parts = feature_sinks.shapefile_parts(boxes(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("key"), literal.alias("shape")), "shape", "MULTIPOLYGON")
-    return parts.select("part", F.octet_length("shp").alias("shp_bytes"), F.octet_length("dbf").alias("dbf_bytes"))
-
-
 @query()
 def e17_area_in_metres(spark, sf_dir):
     return boxes(spark, sf_dir).select("p_partkey", geometry.area(crs.flat(geometry.parse(F.col("wkt")))).alias("area"))
@@ -886,11 +868,98 @@ def round_trip(spark, sf_dir):
     return sparql.select(as_graph(forward_pois(spark, sf_dir)), q)
 
 
-@query()
+def _thousandth(salt: int) -> str:
+    return f"((('0x' || substr(md5('1/{salt}/' || osm_id || '/' || n), 1, 8))::BIGINT % 1000) / 1000.0)"
+
+
+@query(
+    POI + f""", c AS (SELECT *, floor({_thousandth(3)} * length(name) + 0.000000001)::INT + 1 AS cut, {_thousandth(10)} AS e FROM p, (VALUES (1), (2), (3)) t(n)),
+ m AS (SELECT *, round(lon + 2.0 * {_thousandth(1)}, 6) AS x, round(lat + {_thousandth(2)}, 6) AS y FROM c)
+ SELECT osm_id || '_part' || n AS fid, substr(name, 1, cut - 1) || substr(name, cut + 1) AS name, CASE WHEN e >= 0.3 THEN type END AS type, x, y FROM m WHERE abs(x) <= 179 AND abs(y) <= 89"""
+)
 def r7_synthetic(spark, sf_dir):
-    return synthetic(pois(spark, sf_dir).select(F.col("osm_id").alias("fid"), "name", "wkt"), 3, 2.0, 1.0, names="name")
+    made = synthetic(pois(spark, sf_dir).select(F.col("osm_id").alias("fid"), "name", "type", "wkt"), 3, 2.0, 1.0, names="name", erase={"type": 0.3})
+    g = geometry.centroid(geometry.parse(F.col("wkt")))
+    return made.withColumn("g", g).select("fid", "name", "type", F.round("g.x", 6).alias("x"), F.round("g.y", 6).alias("y"))
 
 
-@query()
+@query("SELECT doc_id, md5(strip_accents(text)) AS latin FROM documents")
 def e10_transliterate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.transliterate(F.col("text"))).alias("latin"))
+
+
+# On lines, polygons and collections
+
+
+@query(BOX + "SELECT p_partkey FROM b WHERE w <= 20 AND p_partkey % 2 = 0 AND (h <= 8 OR w <= 5 OR 0.85 * w > 15.25)")
+def f1_notch(spark, sf_dir):
+    """An extent with a notch: lines that leave through it are outside, though all their corners are inside."""
+    w, h = F.col("p_size").cast("double") + 2.0, F.col("p_partkey").cast("double") % 10 + 2.0
+    z = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
+    line = F.when(F.col("p_partkey") % 2 == 0, z("LINESTRING (0 0, ", w, " ", h, ")")).otherwise("LINESTRING (1 11, 19 11)")
+    extent = "POLYGON ((-1 -1, 20.5 -1, 20.5 12, 15.25 12, 15.25 8.5, 5.25 8.5, 5.25 12, -1 12, -1 -1))"
+    return filters.spatial(table(spark, sf_dir, "part").select("p_partkey", line.alias("wkt")), extent).select("p_partkey")
+
+
+@query(BOX + "SELECT p_partkey FROM b WHERE w >= 30 AND p_partkey % 3 <> 1 AND h < 9")
+def f3_cql_spatial(spark, sf_dir):
+    """Boxes that overlap without holding a centroid, lines across a polygon, and distances."""
+    wkt = F.when(F.col("p_partkey") % 3 == 1, F.lit("POINT (500 500)")).otherwise(F.col("wkt"))
+    return filters.cql(boxes(spark, sf_dir).withColumn("wkt", wkt), "BBOX(g, 30, 0, 900, 900) AND INTERSECTS(g, POLYGON((1.6 1.6, 1.8 1.6, 1.8 1.8, 1.6 1.6))) AND NOT DWITHIN(g, POINT(0 9), 0.5, meters) AND NOT WITHIN(g, POLYGON((-1 -1, 2 -1, 2 2, -1 -1)))").select("p_partkey")
+
+
+@query(BOX + "SELECT p_partkey FROM b WHERE p_partkey % 3 <> 0")
+def f9_crossing_rings(spark, sf_dir):
+    wkt = F.when(F.col("p_partkey") % 3 == 0, F.lit("POLYGON ((0 0, 2 2, 2 0, 0 3, 0 0))")).otherwise(F.col("wkt"))
+    return filters.valid_of_kind(boxes(spark, sf_dir).withColumn("wkt", wkt), "POLYGON").select("p_partkey")
+
+
+# More of the query language
+
+
+def _ask(spark, sf_dir, text_):
+    return sparql.select(_graph(spark, sf_dir), f"PREFIX own: <{ONT}> " + text_)
+
+
+@query("SELECT n_name AS label, min(c_name) AS first, max(c_mktsegment) AS last FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def r2_min_max_text(spark, sf_dir):
+    return _ask(spark, sf_dir, "SELECT ?label (MIN(?name) AS ?first) (MAX(?s) AS ?last) { ?c own:nation ?n ; own:name ?name ; own:segment ?s . ?n own:label ?label } GROUP BY ?label")
+
+
+@query("SELECT c_name AS name, upper(c_mktsegment) || '/' || length(c_name) AS made FROM customer")
+def r2_bind(spark, sf_dir):
+    return _ask(spark, sf_dir, "SELECT ?name ?made { ?c own:name ?name ; own:segment ?s BIND(CONCAT(UCASE(?s), '/', STRLEN(?name)) AS ?made) }")
+
+
+@query("SELECT c_name AS name, c_mktsegment AS s FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def r2_values(spark, sf_dir):
+    return _ask(spark, sf_dir, "SELECT ?name ?s { VALUES ?s { 'BUILDING' 'MACHINERY' } ?c own:segment ?s ; own:name ?name }")
+
+
+@query("SELECT c_name AS name FROM customer WHERE NOT c_acctbal > 5000")
+def r2_minus(spark, sf_dir):
+    return _ask(spark, sf_dir, "SELECT ?name { ?c own:name ?name MINUS { ?c own:balance ?b } }")
+
+
+@query("SELECT n_name AS label FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000) AND n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
+def r2_exists(spark, sf_dir):
+    return _ask(spark, sf_dir, "SELECT ?label { ?n own:label ?label FILTER EXISTS { ?c own:nation ?n ; own:balance ?b FILTER(?b > 9000) } FILTER NOT EXISTS { ?c own:nation ?n ; own:balance ?b FILTER(?b > 9900) } }")
+
+
+@query("SELECT n_name AS label, count(*)::VARCHAR AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name HAVING count(*) > (SELECT count(*) // 25 FROM customer) OR count(*) > 0 AND n_name < 'C'")
+def r2_having(spark, sf_dir):
+    least = table(spark, sf_dir, "customer").count() // 25
+    return _ask(spark, sf_dir, f"SELECT ?label (COUNT(?c) AS ?n) {{ ?c own:nation ?k . ?k own:label ?label }} GROUP BY ?label HAVING(COUNT(?c) > {least} || ?label < 'C')")
+
+
+@query("SELECT n_name AS label, coalesce(c_name, '') AS name FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 5000 AND upper(c_mktsegment) > n_name")
+def r2_optional_outer_filter(spark, sf_dir):
+    return _ask(spark, sf_dir, "SELECT ?label ?name { ?n own:label ?label OPTIONAL { ?c own:nation ?n ; own:name ?name ; own:balance ?b ; own:segment ?s FILTER(?s > ?label) } }")
+
+
+@query("SELECT n_name AS label, t::VARCHAR AS most FROM nation JOIN (SELECT c_nationkey AS k, count(*) AS t FROM customer GROUP BY c_nationkey) ON k = n_nationkey")
+def r2_subquery_path(spark, sf_dir):
+    return _ask(spark, sf_dir, "SELECT ?label ?most { ?n own:label ?label { SELECT ?n (COUNT(?x) AS ?most) { ?n ^own:nation/own:name ?x } GROUP BY ?n } }")
+
+
+import terraweave.file_queries  # noqa: E402, F401  registers its queries

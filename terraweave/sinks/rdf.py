@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STRING = "http://www.w3.org/2001/XMLSchema#string"
@@ -63,6 +63,11 @@ def rdf_xml(triples: DataFrame) -> DataFrame:
 RDF_OPEN, RDF_CLOSE = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">', "</rdf:RDF>"
 
 
+def merge(spark: SparkSession, paths: list[str], target: str, files: int = 1) -> None:
+    """The lines of N-Triples outputs as one file, or as many as asked for. Only forms whose lines stand alone can be merged."""
+    spark.read.text(paths).coalesce(files).write.mode("overwrite").text(target)
+
+
 def write(triples: DataFrame, path: str, serialization: str = "N-TRIPLES") -> None:
     """Part files below ``path``. RDF/XML is one document and so one file; every other form has as many
     files as there are partitions."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -203,39 +206,90 @@ def read_block(block: bytes) -> Iterator[tuple[str, str, str | None, str | None,
                 yield "relation", str(d[1]), None, None, [], [{"ref": str(r), "type": kinds[t], "role": strings[o]} for r, t, o in zip(refs, types, roles)], tags(d)
 
 
-def read_pbf(data: bytes) -> Iterator[tuple]:
+def read_blob(data: bytes) -> Iterator[tuple]:
+    blob = dict(_fields(data))
+    return read_block(blob[1] if 1 in blob else zlib.decompress(blob[3]))  # type: ignore[arg-type]
+
+
+def blobs(file: BinaryIO) -> Iterator[tuple[int, int]]:
+    """Offset and size of each blob of elements: only the short headers between them are read."""
     at = 0
-    while at < len(data):
-        (n,) = struct.unpack_from(">I", data, at)
-        head = dict(_fields(data[at + 4 : at + 4 + n]))
+    while len(size := file.read(4)) == 4:
+        (n,) = struct.unpack(">I", size)
+        head = dict(_fields(file.read(n)))
         at += 4 + n
-        size = head[3]
-        blob = dict(_fields(data[at : at + size]))  # type: ignore[operator]
-        at += size  # type: ignore[operator]
         if head[1] == b"OSMData":
-            yield from read_block(blob[1] if 1 in blob else zlib.decompress(blob[3]))  # type: ignore[arg-type]
+            yield at, head[3]  # type: ignore[misc]
+        at += head[3]  # type: ignore[operator]
+        file.seek(at)
+
+
+def opened(path: str) -> BinaryIO:
+    fs, inner = pyarrow.fs.FileSystem.from_uri(path)
+    return fs.open_input_file(inner)
+
+
+def can_open(files: DataFrame) -> bool:
+    first = files.select("path").first()
+    try:
+        if first:
+            opened(first[0]).close()
+        return True
+    except (pyarrow.ArrowException, OSError):
+        return False
 
 
 ELEMENTS = "kind string, id string, lon string, lat string, refs array<string>, members array<struct<ref:string,type:string,role:string>>, tags map<string,string>"
 
 
 def osm_pbf(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``nodes``, ``ways`` and ``relations``; files are decoded in parallel, blocks of a file one by one."""
+    """``nodes``, ``ways`` and ``relations``. One task lists the blobs of a file, and all tasks share them, where Arrow's file systems can open the
+    path; elsewhere Spark hands a file to one task as a whole, which then cannot exceed 2 GB."""
     paths = [path] if isinstance(path, str) else path
+    names = ["kind", "id", "lon", "lat", "refs", "members", "tags"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["kind", "id", "lon", "lat", "refs", "members", "tags"]
-        for pdf in batches:
-            for content in pdf["content"]:
-                held = []
-                for e in read_pbf(bytes(content)):
-                    held.append(e)
-                    if len(held) == 5000:
-                        yield pd.DataFrame(held, columns=names)
-                        held = []
+    def decoded(parts: Iterator[bytes]) -> Iterator[pd.DataFrame]:
+        held = []
+        for data in parts:
+            held += read_blob(data)
+            if len(held) >= 5000:
                 yield pd.DataFrame(held, columns=names)
+                held = []
+        yield pd.DataFrame(held, columns=names)
 
-    all_ = spark.read.format("binaryFile").load(paths).select("content").mapInPandas(run, ELEMENTS)
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p in pdf["path"]:
+                with opened(p) as f:
+                    yield pd.DataFrame([(p, at, n) for at, n in blobs(f)], columns=["path", "at", "n"])
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parts() -> Iterator[bytes]:
+            for pdf in batches:
+                for p, own in pdf.groupby("path"):
+                    with opened(p) as f:
+                        for at, n in zip(own["at"], own["n"]):
+                            f.seek(int(at))
+                            yield f.read(int(n))
+
+        return decoded(parts())
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parts() -> Iterator[bytes]:
+            for pdf in batches:
+                for content in pdf["content"]:
+                    f = io.BytesIO(content)
+                    for at, n in list(blobs(f)):
+                        yield content[at : at + n]
+
+        return decoded(parts())
+
+    files = spark.read.format("binaryFile").load(paths)
+    if can_open(files):
+        found = files.select("path").mapInPandas(listed, "path string, at long, n long")
+        all_ = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "at").mapInPandas(ranges, ELEMENTS)
+    else:
+        all_ = files.select("content").mapInPandas(whole, ELEMENTS)
     pick = lambda kind, *cols: all_.filter(F.col("kind") == kind).select(*cols)
     return pick("node", "id", "lon", "lat", "tags"), pick("way", "id", "refs", "tags"), pick("relation", "id", "members", "tags")
 

@@ -74,6 +74,17 @@ def query_text(config: Config) -> str:
     return f"SELECT t.*, {wkt.format(g=g)} AS wkt FROM {config.table} t{where}"
 
 
+def count_text(config: Config) -> str:
+    """The number of the filtered rows, which the database counts."""
+    return f"SELECT count(*) AS n FROM {config.table} t" + (f" WHERE ({config.condition})" if config.condition else "")
+
+
+def count(spark: SparkSession, config: Config, options: dict[str, str] | None = None) -> DataFrame:
+    """``n``, of one row."""
+    df = spark.read.format("jdbc").options(**jdbc_options(config) | (options or {})).option("query", count_text(config)).load()
+    return df.select(F.col(df.columns[0]).cast("long").alias("n"))
+
+
 def jdbc_options(config: Config) -> dict[str, str]:
     kind = config.jdbc.get("type", "postgis").lower().replace(" ", "")
     url, driver, _, _ = DIALECTS[kind]
