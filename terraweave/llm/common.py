@@ -67,6 +67,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A group's rows are dealt to at least so many salts.
+SALTS = 64
+
+
+def with_least(df: DataFrame, keys: list[str], value: str, into: str, salt: list[str]) -> DataFrame:
+    """``df`` with ``into``, the least ``value`` of the rows with equal ``keys``, for groups of any size.
+
+    Rows meet by keys and salt, a hash of the columns ``salt``, so a group's rows lie in as many tasks as there are salts; only
+    its salts' least values, a row a salt, meet by the keys alone.
+    """
+    dealt = df.withColumn("__tw_s", F.pmod(F.xxhash64(*salt), F.lit(max(SALTS, partitions(df.sparkSession)))))
+    parts = dealt.groupBy(*keys, "__tw_s").agg(F.min(value).alias(into))
+    least = parts.groupBy(*keys).agg(F.min(into).alias(into))
+    return dealt.join(parts.select(*keys, "__tw_s").join(least, keys), [*keys, "__tw_s"]).drop("__tw_s")
+
+
 def number_rows(tables: Tables, df: DataFrame, order: list[Column], name: str, into: str) -> tuple[DataFrame, int]:
     """``df`` with a gapless 0-based long column ``into`` in ``order``, and the number of rows.
 

@@ -5,21 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraweave.llm.common import Tables
-
-
-def _least(edges: DataFrame) -> DataFrame:
-    """Each node's smallest neighbour. The groups are pre-aggregated before the shuffle."""
-    return edges.groupBy("u").agg(F.min("v").alias("__tw_m"))
-
+from terraweave.llm.common import Tables, with_least
 
 def components(tables: Tables, edges: DataFrame, name: str = "components") -> DataFrame:
     """``(node, root)`` for every node of ``edges(u, v)``: ``root`` is the smallest node reachable.
 
     Each round links neighbours to the smallest one they see; the number of rounds grows with
     the logarithm of the longest path. Every round is written to shared storage. A node with
-    very many neighbours is no single group: its minimum is pre-aggregated, and its edges are an
-    ordinary join that Spark splits where a key is hot.
+    very many neighbours is no single group: see ``with_least``.
     """
     kind = edges.schema["u"].dataType
     now = tables.save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
@@ -27,10 +20,9 @@ def components(tables: Tables, edges: DataFrame, name: str = "components") -> Da
     while True:
         # Large star: larger neighbours of u go to the smallest of u and its neighbours.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(both).withColumn("__tw_m", F.least("u", "__tw_m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("__tw_m").alias("v")).distinct()
+        large = with_least(both, ["u"], "v", "__tw_m", ["v"]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "__tw_m").alias("v")).distinct()
         # Small star: u and its smaller neighbours go to the smallest neighbour.
-        small = large.join(_least(large), "u")
+        small = with_least(large, ["u"], "v", "__tw_m", ["v"])
         small = small.select(F.when(F.col("v") == F.col("__tw_m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("__tw_m").alias("v"))
         small = small.filter("u <> v").distinct()
         # __tw_m is min(N(u)) and below u, so the pairs above are (u, m) once and (v, m) for other v.
