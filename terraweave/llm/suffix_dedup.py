@@ -9,7 +9,7 @@ another document go on to the next length:
    inside it: equal strings have equal representatives, and neighbouring strings mostly share
    one, so one row stands for a run of about fifteen positions. Spark sorts these (rank, position)
    rows; a rank that one document alone has is unique and its run is dropped.
-   Among runs of one rank, those of equal bytes (by a 64-bit hash of the run) are one class: all but
+   Among runs of one rank, those whose bytes have one hash (64 bits, independent of the rank's 63) are one class: all but
    the runs of its smallest document go as a whole.
 2. Runs of the smallest documents whose rank has several classes fetch their bytes and are sorted
    again by rank. Within a rank all their positions are ranked by pairs of ranks at offsets of 8, 16 and 18 bytes (prefixes of 16, 32
@@ -17,9 +17,9 @@ another document go on to the next length:
    sort gives the smallest document with this string.
 3. Covered positions are merged to spans and cut from the texts.
 
-A rank of more than ``LONG`` such runs (a phrase that very many documents have, each in words of its own) is
-dealt by position instead: each string has two 64-bit hashes, their smallest document is pre-aggregated, and
-every position meets it in a join. No task holds such a rank.
+A rank of very many such runs (see ``LONG``; a phrase that very many documents have, each in words of its own) is
+dealt by position instead: each string has two 64-bit hashes, and every position meets the smallest document of its string, in as many
+tasks as its group needs. No task holds such a rank.
 
 Ranks that a sample shows to be common are not shuffled as runs at all: their positions stand for themselves, ranked by
 the whole string. The sample decides how rows are dealt and nothing else; results are the same without it.
@@ -42,17 +42,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraweave.llm.common import Tables, partitions
+from terraweave.llm.common import Tables, partitions, with_least
 
 BASE = 20
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
 #: Runs that are held before equal ones among them are merged.
 HELD = 400_000
-#: A rank with more runs than this is no task's work; it is resolved position by position.
-LONG = 20_000
-#: One document of so many tells which ranks are common, from so many runs of it on, and how many ranks at most.
-SAMPLE, COMMON, MOST = 100, 50, 10_000
+#: A rank with more runs than this, and than a quarter of a task's share, is no task's work; it is resolved position by position.
+LONG = 500
+#: One document of so many tells which ranks are common: those of so many runs of the sample and of a 20th of a task's share,
+#: which are 20 for each task at most.
+SAMPLE, COMMON, SHARE = 100, 50, 20
+#: Bytes of text for a run, as a rule of thumb.
+RUN = 15
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 LAST = np.iinfo(np.int64).max
@@ -81,6 +84,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Of a second, independent hash.
+_OTHER_CODES = _mix(_CODES)
+
+
 def _least_within(x: np.ndarray, w: int) -> np.ndarray:
     """The minimum of every ``w`` neighbours."""
     have = 1
@@ -94,8 +101,9 @@ def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     """Rank, start, number of positions and hash of the bytes of each run of ``data``."""
     w = length - BASE + 1
     up, down = _power_table(CHUNK + 2 * length)
-    sums = np.zeros(len(data) + 1, np.uint64)
+    sums, others = np.zeros((2, len(data) + 1), np.uint64)
     np.cumsum(_CODES[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(_OTHER_CODES[data] * up[: len(data)], out=others[1:])
     ranks = _mix((sums[BASE:] - sums[:-BASE]) * down[: len(data) - BASE + 1])
     least = _least_within(ranks, w)
     cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
@@ -107,14 +115,14 @@ def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         step = (np.arange(pieces.sum()) - first) * w
         starts, sizes = np.repeat(starts, pieces) + step, np.minimum(np.repeat(sizes, pieces) - step, w)
     ends = starts + sizes + length - 1
-    return least[starts], starts, sizes, _mix((sums[ends] - sums[starts]) * down[starts] + sizes.astype(np.uint64))
+    return least[starts], starts, sizes, _mix((others[ends] - others[starts]) * down[starts] + sizes.astype(np.uint64))
 
 
 def window_hashes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of every string of ``length`` bytes."""
     up, down = _power_table(CHUNK + 2 * length)
     out = []
-    for codes in (_CODES, _mix(_CODES)):
+    for codes in (_CODES, _OTHER_CODES):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(codes[data] * up[: len(data)], out=sums[1:])
         out.append(_mix((sums[length:] - sums[:-length]) * down[: len(data) - length + 1]).view(np.int64))
@@ -247,7 +255,7 @@ def _spans_gone(key: np.ndarray, start: np.ndarray, n: np.ndarray, gone: np.ndar
 
 
 def common_ranks(docs: DataFrame, length: int) -> np.ndarray:
-    """Ranks that many runs of a sample have, MOST at most."""
+    """Ranks that many runs of a sample have."""
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +264,9 @@ def common_ranks(docs: DataFrame, length: int) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array(runs(data, length)[0].view(np.int64) & LAST)], names=["rank"])
 
     sample = docs.filter(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(ranks, "rank long")
-    counts = sample.groupBy("rank").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "rank").limit(MOST)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    least = max(COMMON, size // (RUN * SAMPLE * SHARE * partitions(docs.sparkSession)))
+    counts = sample.groupBy("rank").count().filter(F.col("count") >= least)
     return np.array(sorted(r[0] for r in counts.collect()), np.int64)
 
 
@@ -358,7 +368,8 @@ def spans(tables: Tables, docs: DataFrame, length: int, plain: bool) -> DataFram
     shared = shared.select(F.when(gone, F.lit(-1).cast("long")).otherwise(F.col("rank")).alias("rank"), "key", F.when(whole, F.col("span") + (length - 1)).otherwise(F.col("span")).alias("span"))
     shared = tables.save(shared, "shared")
     asked = shared.filter("rank >= 0").select("rank", "key", "span")
-    hot = tables.save(asked.groupBy("rank").count().filter(F.col("count") > LONG).select("rank"), "hot")
+    limit = max(LONG, asked.count() // (4 * n_parts))
+    hot = tables.save(asked.groupBy("rank").count().filter(F.col("count") > limit).select("rank"), "hot")
 
     def fetched(asked: DataFrame) -> DataFrame:
         lists = asked.groupBy("key").agg(F.collect_list(F.struct("rank", "span")).alias("a")).select("key", F.col("a.rank").alias("ranks"), F.col("a.span").alias("packed"))
@@ -371,11 +382,11 @@ def spans(tables: Tables, docs: DataFrame, length: int, plain: bool) -> DataFram
     if some:
         each = fetched(asked.join(hot, "rank", "left_semi")).mapInArrow(positions, "a long, b long, key long, order long, span long")
         each = tables.save(each, "positions")
-        least = each.groupBy("a", "b").agg(F.min("order").alias("least"))
-        found = found.unionByName(each.join(least, ["a", "b"]).filter("order > least").select("key", "span"))
-    found = tables.save(found, "found")
+        found = found.unionByName(with_least(each, ["a", "b"], "order", "least", ["key", "span"]).filter("order > least").select("key", "span"))
     all_spans = shared.filter("rank < 0").select("key", "span").unionByName(found)
-    return all_spans.groupBy("key").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+    merged = tables.save(all_spans.groupBy("key").agg(F.sort_array(F.collect_list("span")).alias("spans")), "spans")
+    tables.drop("shared", "hot", "positions")
+    return merged
 
 
 def _merged(packed: list[int]) -> list[tuple[int, int]]:
@@ -428,8 +439,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     names = [f"c{i}" for i in range(len(rest))] + ["t"] * texts + list(outputs)
     schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)] + ["t string"] * texts + ["n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
-    done = tables.save(joined.mapInArrow(cut, schema), "done")
-    tables.drop("shared", "found", "hot", "positions")
+    done = joined.mapInArrow(cut, schema)
     tables.keep_until_exit()
     named = {c: f"c{i}" for i, c in enumerate(rest)} | ({text: "t"} if texts else {})
     return done.select(*[F.col(named[c]).alias(c) for c in df.columns if c in named], *outputs)
