@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from terraweave.llm.common import SPACE, WORD, without
 
 #: Ends of a sentence, closing quotes and brackets after them allowed.
-ENDED = r"[.!?:;…。！？][\"')\]»”’]*[\x20\x09-\x0D]*\z"
+ENDED = r"[.!?:;…。！？।؟][\"')\]»”’]*[\x20\x09-\x0D]*\z"
+#: A line of so many words that holds an end of a sentence is a paragraph that was cut off, not a fragment.
+PARAGRAPH = 30
+INNER_END = r"[.!?…。！？।؟][\"')\]»”’]*[\x20\x09-\x0D]"
 #: Between the entries of a menu or a trail of links.
 BETWEEN = r"[|>»›•·]"
 SHOUTS = r"[!?*#~=_^]"
@@ -49,9 +52,10 @@ def n_words_in(text: Column) -> Column:
 
 
 def fails_punctuation(line: Column) -> Column:
-    """No end of a sentence, or more than one mark like ! ? * # for every two words."""
+    """No end of a sentence (a paragraph may have it inside), or more than one mark like ! ? * # for every two words."""
     shouts = F.regexp_count(line, F.lit(SHOUTS))
-    return ~F.rlike(line, F.lit(ENDED)) | (shouts > 1) & (2 * shouts > n_words_in(line))
+    unended = ~F.rlike(line, F.lit(ENDED)) & ~(F.rlike(line, F.lit(INNER_END)) & (n_words_in(line) >= PARAGRAPH))
+    return unended | (shouts > 1) & (2 * shouts > n_words_in(line))
 
 
 def fails_navigation(line: Column) -> Column:
@@ -94,6 +98,12 @@ def repeated_words(words: Column) -> Column:
     return F.coalesce(count, F.lit(0)).cast("long")
 
 
+def only_kept(judged: DataFrame) -> DataFrame:
+    """The kept rows of ``judge``'s result. The row number is a barrier: without it the filter would go below the verdict and compute it anew."""
+    at = F.monotonically_increasing_id()
+    return judged.withColumn("__tw_at", at).filter((F.col("__tw_at") >= 0) & F.col("kept")).drop("__tw_at")
+
+
 OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "base_failed", "clean_text", "kept")
 
 

@@ -29,7 +29,7 @@ def line_rules() -> str:
     text = lambda pattern: "'" + pattern.replace("'", "''") + "'"
     count = lambda pattern: f"len(regexp_extract_all(line, {text(pattern)}))"
     fails = f"""(parts >= 2 AND n < 5 * (parts + 1) OR n <= 30 AND regexp_matches(line, {text(q.BOILERPLATE)})
- OR NOT regexp_matches(line, {text(q.ENDED)}) OR shouts > 1 AND 2 * shouts > n)"""
+ OR NOT regexp_matches(line, {text(q.ENDED)}) AND NOT (n >= {q.PARAGRAPH} AND regexp_matches(line, {text(q.INNER_END)})) OR shouts > 1 AND 2 * shouts > n)"""
     around = f"PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {q.WINDOW - 1} FOLLOWING"
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
  w AS (SELECT r, unnest(regexp_extract_all(t, {WORDS})) AS w, generate_subscripts(regexp_extract_all(t, {WORDS}), 1) AS i FROM d),

@@ -56,6 +56,19 @@ def test_failing_lines_go(spark):
     assert not rows[2].kept
 
 
+def test_a_paragraph_may_end_anywhere(spark):
+    inside = "Plain words stand in this line of text, one after one. " * 4
+    df = spark.createDataFrame([(1, inside + "and then it"), (2, "no mark at all " * 20), (3, "Short. but cut\n" * 9)], "doc_id long, text string")
+    lost = {r.doc_id: r.lost_words for r in line_quality.judge(df).collect()}
+    assert lost == {1: 0, 2: 80, 3: 27}
+
+
+def test_only_kept_keeps_the_same_rows(spark):
+    judged = line_quality.judge(queries.table(spark, SF, "documents").select("doc_id", "text"))
+    kept = line_quality.only_kept(judged)
+    assert kept.columns == judged.columns and sorted(kept.select("doc_id").collect()) == sorted(judged.filter("kept").select("doc_id").collect())
+
+
 def test_query_against_brute_force(spark):
     texts = {r.doc_id: r.text for r in queries.table(spark, SF, "documents").collect()}
     got = queries.op5_line_quality(spark, SF).collect()
