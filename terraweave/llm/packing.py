@@ -25,7 +25,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraweave.llm.common import Tables
 from terraweave.llm.tokens import encoder
 
 LINEAR = 1.0
@@ -65,24 +64,24 @@ def pack(lengths: np.ndarray, size: int) -> tuple[list[tuple[int, int, int, int,
     return pieces, caps
 
 
-SCHEMA = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
+SCHEMA = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long, row_id long"
 
 
 def pack_documents(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = 1024, end: int = 0, ids: bool = False) -> DataFrame:
     """One row per piece, in the columns of SCHEMA and, with ``ids``, the piece's ``ids``. ``size`` is a
-    power of two. Sequence ids tell the task and its count; the pieces are kept as a table, so
-    they stay what they are."""
+    power of two. Sequence ids tell the task and its count, and so does ``row_id``, which tells pieces of repeated rows apart. Over
+    stored files the pieces are always the same; rows that come from a shuffle should be stored first."""
     schema = SCHEMA.format(kind=df.schema[key].dataType.simpleString()) + (", ids array<int>" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = encoder(tokenizer), np.array([end], np.uint32)
-        first = TaskContext.get().partitionId() << 36
+        first = first_row = TaskContext.get().partitionId() << 36
         keys: list = []
         held: list[np.ndarray] = []
         tokens = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal first
+            nonlocal first, first_row
             pieces, caps = pack(np.array([len(h) for h in held], np.int64), size)
             parts = [held[d][s : s + n] for d, s, n, _, _ in pieces]
             columns = [
@@ -93,10 +92,11 @@ def pack_documents(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str
                 pa.array([first + p[3] for p in pieces], pa.int64()),
                 pa.array([p[4] for p in pieces], pa.int64()),
                 pa.array([caps[p[3]] for p in pieces], pa.int64()),
+                pa.array([first_row + p[0] for p in pieces], pa.int64()),
             ]
             if ids:
                 columns.append(pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())))
-            first += len(caps)
+            first, first_row = first + len(caps), first_row + len(held)
             keys.clear(), held.clear()
             return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -113,7 +113,4 @@ def pack_documents(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str
             yield flush()
 
     names = [part.split(" ")[0] for part in schema.split(", ")]
-    tables = Tables(df.sparkSession)
-    packed = tables.save(df.select(F.col(key), F.col(text)).mapInArrow(run, schema), "packed")
-    tables.keep_until_exit()
-    return packed
+    return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
