@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraweave.llm.common import Tables, with_least
+from terraweave.llm.common import Tables, partitions, with_least
+
+#: A round is written in files of so many edges at least, by as many tasks.
+EDGES = 200_000
+
 
 def components(tables: Tables, edges: DataFrame, name: str = "components") -> DataFrame:
     """``(node, root)`` for every node of ``edges(u, v)``: ``root`` is the smallest node reachable.
 
     Each round links neighbours to the smallest one they see; the number of rounds grows with
     the logarithm of the longest path. Every round is written to shared storage. A node with
-    very many neighbours is no single group: see ``with_least``.
+    very many neighbours is no single group: see ``with_least``. No round has more edges than the one
+    before, so the number of its files is known beforehand: few edges do not make a file a partition.
     """
     kind = edges.schema["u"].dataType
-    now = tables.save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
-    round_no = 0
+
+    def saved(df: DataFrame, most: int, number: int) -> DataFrame:
+        files = min(-(-most // EDGES), partitions(tables.spark))
+        return tables.save(df.coalesce(max(1, files)), f"{name}-{number}")
+
+    rows, round_no = edges.count(), 0
+    now = saved(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows, 0)
+    rows = now.count()
     while True:
         # Large star: larger neighbours of u go to the smallest of u and its neighbours.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,10 +38,11 @@ def components(tables: Tables, edges: DataFrame, name: str = "components") -> Da
         small = small.filter("u <> v").distinct()
         # __tw_m is min(N(u)) and below u, so the pairs above are (u, m) once and (v, m) for other v.
         round_no += 1
-        new = tables.save(small, f"{name}-{round_no}")
-        same = now.count() == new.count() and now.join(new, ["u", "v"], "left_anti").isEmpty()
+        new = saved(small, rows, round_no)
+        left = new.count()
+        same = rows == left and now.join(new, ["u", "v"], "left_anti").isEmpty()
         tables.drop(f"{name}-{round_no - 1}")
-        now = new
+        now, rows = new, left
         if same:
             break
     out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
