@@ -9,12 +9,13 @@ Layout of a store, in one folder:
   ``payload``.
 
 A payload is ``TWR1``, the table's CRC-32, the number of segments, a checkpoint for each segment (its
-byte offset, ids, lanes, CRC-32 of its ids) and the segments. A segment interleaves its ids over
+byte offset, ids, lanes, CRC-32 of its ids) and the segments, of SEGMENT ids each. A segment interleaves its ids over
 up to LANES coder states of 64 bits that share one stream of 32-bit words; it can be decoded with the
-table alone, so readers start at any checkpoint, and all blocks decode in parallel.
+table alone. So all blocks decode in parallel, and ``read_range`` starts at the checkpoint before its first id
+and stops at the segment of its last: the rest of a block is neither decoded nor checked.
 
 Defined results: null texts are empty documents with the end id alone; rows of equal keys are
-in order of their texts' hash, null keys first; an empty table gives an empty store.
+in order of their texts' hash, null keys first; an empty table gives an empty store. A range is cut to the ids there are.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ from terraweave.llm.tokens import encoder
 
 SCALE = 20
 LANES = 1024
-SEGMENT = 1 << 18
+#: A lane's state takes eight bytes, so a lane serves so many ids at least.
+PER_LANE = 128
+SEGMENT = 1 << 15
 BLOCK = 1 << 17
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
@@ -66,7 +69,7 @@ class Table:
 
 
 def encode_segment(ids: np.ndarray, table: Table) -> tuple[int, bytes]:
-    lanes = max(1, min(LANES, len(ids) // 64))
+    lanes = max(1, min(LANES, len(ids) // PER_LANE))
     state = np.full(lanes, LOW, np.uint64)
     words: list[np.ndarray] = []
     shift, most = np.uint64(SCALE), np.uint64(63 - SCALE)
@@ -113,18 +116,21 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
     return b"".join([b"TWR1", struct.pack("<II", table.crc, len(points)), *points, *parts])
 
 
-def decode_block(payload: bytes, table: Table) -> np.ndarray:
+def decode_range(payload: bytes, table: Table, start: int = 0, end: int | None = None) -> np.ndarray:
+    """The ids of a block from ``start`` up to ``end``, from the segments that hold them."""
     crc, n = struct.unpack_from("<II", payload, 4)
     if payload[:4] != b"TWR1" or crc != table.crc:
         raise ValueError("not a block of this table")
     points = [struct.unpack_from("<QIII", payload, 12 + 20 * i) for i in range(n)]
-    base, out = 12 + 20 * n, []
+    base, first, out = 12 + 20 * n, 0, []
     for i, (at, size, lanes, check) in enumerate(points):
-        end = base + points[i + 1][0] if i + 1 < n else len(payload)
-        part = decode_segment(payload[base + at : end], size, lanes, table)
-        if zlib.crc32(part.astype("<u4").tobytes()) != check:
-            raise ValueError(f"segment {i} fails its checksum")
-        out.append(part)
+        if first + size > start and (end is None or first < end):
+            stop = base + points[i + 1][0] if i + 1 < n else len(payload)
+            part = decode_segment(payload[base + at : stop], size, lanes, table)
+            if zlib.crc32(part.astype("<u4").tobytes()) != check:
+                raise ValueError(f"segment {i} fails its checksum")
+            out.append(part[max(0, start - first) : None if end is None else end - first])
+        first += size
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
@@ -193,18 +199,23 @@ def write(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: s
     tables.drop("raw")
 
 
-def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of every document of a store and, with ``ids``, its ids."""
+def _opened(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray, DataFrame, dict[int, int], int]:
+    """The table's ids and frequencies, the blocks, the first id of each shard and the number of ids."""
     rows = spark.read.parquet(f"{path}/table").toPandas()  # bounded by the vocabulary
-    by_id, freqs = rows["id"].to_numpy(np.int64), rows["freq"].to_numpy(np.int64)
-    order = np.argsort(by_id)
-    by_id, freqs = by_id[order], freqs[order]
+    ids, freqs = rows["id"].to_numpy(np.int64), rows["freq"].to_numpy(np.int64)
+    order = np.argsort(ids)
     blocks = spark.read.parquet(f"{path}/blocks")
     # One row for each shard, of which there are as many as partitions were written.
     totals = sorted((r[0], r[1]) for r in blocks.groupBy("shard").agg(F.sum("n_tokens")).collect())
     firsts, total = {}, 0
     for shard, n in totals:
         firsts[shard], total = total, total + n
+    return ids[order], freqs[order], blocks, firsts, total
+
+
+def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32)`` of every document of a store and, with ``ids``, its ids."""
+    by_id, freqs, blocks, firsts = _opened(spark, path)[:4]
     kind = blocks.schema["doc_ids"].dataType
     assert isinstance(kind, T.ArrayType)
 
@@ -214,7 +225,7 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
             shards, first = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i in range(batch.num_rows):
                 keys, lengths = batch.column(2)[i].values, batch.column(3)[i].values.to_numpy()
-                got = decode_block(batch.column(4)[i].as_py(), table)
+                got = decode_range(batch.column(4)[i].as_py(), table)
                 ends = np.cumsum(lengths)
                 if (ends[-1] if len(ends) else 0) != len(got):
                     raise ValueError("a block's index does not fit its ids")
@@ -227,3 +238,26 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
 
     schema = f"doc_id {kind.elementType.simpleString()}, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if ids else "")
     return blocks.select("shard", "first", "doc_ids", "lengths", "payload").mapInArrow(decode, schema)
+
+
+def read_range(spark: SparkSession, path: str, start: int, n: int) -> DataFrame:
+    """``(start, ids)``: the ``n`` ids of the store from ``start`` on, a row for each block that holds some of them."""
+    by_id, freqs, blocks, firsts, total = _opened(spark, path)
+    end = min(start + n, total)
+    held = [shard for shard, first in firsts.items() if first < end]
+    last = held[-1] if held else -1
+    one = max((shard for shard in held if firsts[shard] <= start), default=-1)
+    shard, first = F.col("shard"), F.col("first")
+    # Shards between the first and the last are wanted whole.
+    wanted = blocks.filter(shard.between(one, last))
+    wanted = wanted.filter((shard != one) | (first + F.col("n_tokens") > start - firsts.get(one, 0))).filter((shard != last) | (first < end - firsts.get(last, 0)))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(by_id, freqs)
+        for batch in batches:
+            for shard, first, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                at = firsts[shard] + first
+                ids = decode_range(payload, table, max(0, start - at), end - at)
+                yield pa.RecordBatch.from_arrays([pa.array([max(start, at)]), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], names=["start", "ids"])
+
+    return wanted.select("shard", "first", "payload").mapInArrow(decode, "start long, ids array<long>")

@@ -30,21 +30,44 @@ def test_round_trip_and_checks(n):
     seen, counts = np.unique(np.r_[ids, 7], return_counts=True)
     table = token_store.Table.of_counts(seen, counts)
     payload = token_store.encode_block(ids, table)
-    assert (token_store.decode_block(payload, table) == ids).all()
+    assert (token_store.decode_range(payload, table) == ids).all()
     if n == 70_001:
         p = counts / counts.sum()
         assert len(payload) < 1.1 * n * -(p * np.log2(p)).sum() / 8 + 8 * token_store.LANES
         broken = bytearray(payload)
         broken[-1] ^= 1
         with pytest.raises(ValueError):
-            token_store.decode_block(bytes(broken), table)
+            token_store.decode_range(bytes(broken), table)
 
 
 def test_segments(monkeypatch):
     monkeypatch.setattr(token_store, "SEGMENT", 500)
     ids = np.arange(1777) % 90
     table = token_store.Table.of_counts(*np.unique(ids, return_counts=True))
-    assert (token_store.decode_block(token_store.encode_block(ids, table), table) == ids).all()
+    payload = token_store.encode_block(ids, table)
+    assert (token_store.decode_range(payload, table) == ids).all()
+    for a, b in [(0, 1), (499, 501), (500, 1000), (1700, 1777), (10, 10), (1777, 2000)]:
+        assert (token_store.decode_range(payload, table, a, b) == ids[a:b]).all()
+    broken = bytearray(payload)
+    broken[-1] ^= 1  # in the last of four segments, which ranges before it do not touch
+    assert (token_store.decode_range(bytes(broken), table, 700, 1500) == ids[700:1500]).all()
+    with pytest.raises(ValueError):
+        token_store.decode_range(bytes(broken), table, 700, 1501)
+
+
+def test_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "BLOCK", 3000)
+    docs = queries.table(spark, SF, "documents")
+    token_store.write(docs, str(tmp_path), queries.TOKENIZER)
+    every = [i for r in sorted(token_store.read(spark, str(tmp_path), ids=True).collect(), key=lambda r: r.start) for i in r.ids]
+    size = len(every)
+    for start, n in [(0, size), (0, 1), (2999, 2), (size // 2, 9000), (size - 1, 50), (size, 3), (5, 0)]:
+        rows = sorted(token_store.read_range(spark, str(tmp_path), start, n).collect())
+        assert [i for r in rows for i in r.ids] == every[start : start + n]
+        at = start
+        for r in rows:
+            assert r.start == at
+            at += len(r.ids)
 
 
 def test_nulls_ties_and_empty(spark, tmp_path):
@@ -56,3 +79,4 @@ def test_nulls_ties_and_empty(spark, tmp_path):
     assert all(len(r.ids) == r.n_tokens for r in got)
     token_store.write(df.limit(0), str(tmp_path / "b"), queries.TOKENIZER)
     assert token_store.read(spark, str(tmp_path / "b")).count() == 0
+    assert token_store.read_range(spark, str(tmp_path / "b"), 0, 10).count() == 0
