@@ -38,7 +38,9 @@ LANES = 1024
 #: A lane's state takes eight bytes, so a lane serves so many ids at least.
 PER_LANE = 128
 SEGMENT = 1 << 15
-BLOCK = 1 << 17
+#: So many segments of one block are coded side by side: a step of the coder then fills its vectors.
+TOGETHER = 16
+BLOCK = 1 << 18
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 MASK = np.uint64((1 << 32) - 1)
@@ -68,51 +70,69 @@ class Table:
         return cls(ids, freqs)
 
 
-def encode_segment(ids: np.ndarray, table: Table) -> tuple[int, bytes]:
-    lanes = max(1, min(LANES, len(ids) // PER_LANE))
-    state = np.full(lanes, LOW, np.uint64)
+def encode_segments(ids: np.ndarray, table: Table) -> tuple[int, list[bytes]]:
+    """The lanes of a segment and the segments' bytes, of segments of equal length: a row of ``ids`` each, coded side by side."""
+    rows, n = ids.shape
+    lanes = max(1, min(LANES, n // PER_LANE))
+    state = np.full((rows, lanes), LOW, np.uint64)
     words: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
     shift, most = np.uint64(SCALE), np.uint64(63 - SCALE)
     freq, start = table.freq[ids], table.start[ids]
-    for at in range((len(ids) - 1) // lanes * lanes, -1, -lanes):
-        f, c = freq[at : at + lanes], start[at : at + lanes]
-        x = state[: len(f)]
+    for at in range((n - 1) // lanes * lanes, -1, -lanes):
+        f, c = freq[:, at : at + lanes], start[:, at : at + lanes]
+        x = state[:, : f.shape[1]]
         full = x >= (f << most)
         words.append((x[full] & MASK).astype("<u4"))
+        counts.append(full.sum(axis=1))
         x = np.where(full, x >> WORD, x)
         q = x // f
-        state[: len(f)] = (q << shift) + (x - q * f) + c
-    return lanes, state.astype("<u8").tobytes() + b"".join(w.tobytes() for w in reversed(words))
-
-
-def decode_segment(data: bytes, n: int, lanes: int, table: Table) -> np.ndarray:
-    state = np.frombuffer(data, "<u8", lanes).astype(np.uint64)
-    words = np.frombuffer(data, "<u4", offset=8 * lanes).astype(np.uint64)
-    out, at = np.empty(n, np.uint32), 0
+        state[:, : f.shape[1]] = (q << shift) + (x - q * f) + c
+    stream = np.concatenate(words[::-1])
+    owner = np.repeat(np.tile(np.arange(rows, dtype=np.uint8), len(counts)), np.concatenate(counts[::-1]))
+    own = np.split(stream[np.argsort(owner, kind="stable")], np.cumsum(sum(counts))[:-1])
+    return lanes, [s.tobytes() + w.tobytes() for s, w in zip(state.astype("<u8"), own)]
+
+
+def decode_segments(data: list[bytes], n: int, lanes: int, table: Table) -> np.ndarray:
+    """The ids, a row for each segment, of segments of ``n`` ids each."""
+    rows = len(data)
+    state = np.stack([np.frombuffer(d, "<u8", lanes) for d in data]).astype(np.uint64)
+    streams = [np.frombuffer(d, "<u4", offset=8 * lanes) for d in data]
+    words = np.concatenate(streams).astype(np.uint64)
+    at = np.cumsum([0, *map(len, streams[:-1])])
+    out = np.empty((rows, n), np.uint32)
     shift, mask = np.uint64(SCALE), np.uint64((1 << SCALE) - 1)
     for i in range(0, n, lanes):
-        k = min(lanes, n - i)
-        x = state[:k]
+        x = state[:, : min(lanes, n - i)]
         slot = x & mask
         s = table.symbol[slot]
-        out[i : i + k] = s
+        out[:, i : i + lanes] = s
         x = table.freq[s] * (x >> shift) + slot - table.start[s]
         low = x < LOW
-        need = int(low.sum())
-        x[low] = (x[low] << WORD) | words[at : at + need]
+        need = low.sum(axis=1)
+        ends = np.cumsum(need)
+        place = np.arange(ends[-1]) + np.repeat(at - ends + need, need)
+        if len(place) and place[-1] >= len(words):
+            raise ValueError("a segment's words end before its ids")
+        x[low] = (x[low] << WORD) | words[place]
         at += need
-        state[:k] = x
+        state[:, : x.shape[1]] = x
     return out
 
 
 def encode_block(ids: np.ndarray, table: Table) -> bytes:
+    whole = len(ids) // SEGMENT
+    groups = [ids[i * SEGMENT : min(i + TOGETHER, whole) * SEGMENT].reshape(-1, SEGMENT) for i in range(0, whole, TOGETHER)]
+    if len(ids) > whole * SEGMENT:
+        groups.append(ids[whole * SEGMENT :].reshape(1, -1))
     parts, points, at = [], [], 0
-    for i in range(0, len(ids), SEGMENT):
-        part = ids[i : i + SEGMENT]
-        lanes, data = encode_segment(part, table)
-        points.append(struct.pack("<QIII", at, len(part), lanes, zlib.crc32(part.astype("<u4").tobytes())))
-        parts.append(data)
-        at += len(data)
+    for group in groups:
+        lanes, data = encode_segments(group, table)
+        for part, coded in zip(group, data):
+            points.append(struct.pack("<QIII", at, len(part), lanes, zlib.crc32(part.astype("<u4").tobytes())))
+            at += len(coded)
+        parts += data
     return b"".join([b"TWR1", struct.pack("<II", table.crc, len(points)), *points, *parts])
 
 
@@ -122,16 +142,24 @@ def decode_range(payload: bytes, table: Table, start: int = 0, end: int | None =
     if payload[:4] != b"TWR1" or crc != table.crc:
         raise ValueError("not a block of this table")
     points = [struct.unpack_from("<QIII", payload, 12 + 20 * i) for i in range(n)]
-    base, first, out = 12 + 20 * n, 0, []
-    for i, (at, size, lanes, check) in enumerate(points):
-        if first + size > start and (end is None or first < end):
-            stop = base + points[i + 1][0] if i + 1 < n else len(payload)
-            part = decode_segment(payload[base + at : stop], size, lanes, table)
-            if zlib.crc32(part.astype("<u4").tobytes()) != check:
-                raise ValueError(f"segment {i} fails its checksum")
-            out.append(part[max(0, start - first) : None if end is None else end - first])
-        first += size
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+    base = 12 + 20 * n
+    stops = [base + p[0] for p in points[1:]] + [len(payload)]
+    firsts = np.cumsum([0, *(p[1] for p in points)]).tolist()
+    wanted = [i for i in range(n) if firsts[i + 1] > start and (end is None or firsts[i] < end)]
+    out, i = [], 0
+    while i < len(wanted):
+        _, size, lanes, _ = points[wanted[i]]
+        group = [j for j in wanted[i : i + TOGETHER] if points[j][1:3] == (size, lanes)]
+        got = decode_segments([payload[base + points[j][0] : stops[j]] for j in group], size, lanes, table)
+        for j, part in zip(group, got):
+            if zlib.crc32(part.astype("<u4").tobytes()) != points[j][3]:
+                raise ValueError(f"segment {j} fails its checksum")
+        out.append(got.ravel())
+        i += len(group)
+    if not out:
+        return np.zeros(0, np.uint32)
+    first = firsts[wanted[0]]
+    return np.concatenate(out)[max(0, start - first) : None if end is None else max(0, end - first)]
 
 
 def write(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 2) -> None:
