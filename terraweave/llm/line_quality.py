@@ -29,7 +29,10 @@ SHOUTS = r"[!?*#~=_^]"
 BOILERPLATE = (
     r"(?i)(all rights reserved|cookie (policy|settings|consent)|(uses|use|accept) (all )?cookies|privacy policy|terms (of|and) (use|service|conditions)"
     r"|(enable|requires) javascript|click here|sign (in|up)|log ?in (to|or)|subscribe (to|now)|skip to (main )?content|read more|add to cart"
-    r"|^(licensed|released) under|this work is licensed|copyright (\(c\)|©))"
+    r"|^(licensed|released) under|this work is licensed|copyright (\(c\)|©)"
+    r"|alle rechte vorbehalten|datenschutzerkl[äÄ]rung|cookie-(einstellungen|richtlinie)|(verwendet|akzeptieren) cookies|nutzungsbedingungen|hier klicken"
+    r"|tous droits r[éÉ]serv[éÉ]s|politique de confidentialit[éÉ]|(utilise|accepter) (des|les) cookies|conditions (d['’]utilisation|g[éÉ]n[éÉ]rales de vente)|cliquez ici"
+    r"|todos los derechos reservados|pol[íÍ]tica de (privacidad|cookies)|(utiliza|usa|aceptar) (las )?cookies|t[éÉ]rminos y condiciones|haga clic aqu[íÍ])"
 )
 WINDOW = 8
 MIN_WORDS = 20

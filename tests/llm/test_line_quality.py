@@ -56,6 +56,13 @@ def test_failing_lines_go(spark):
     assert not rows[2].kept
 
 
+def test_boilerplate_of_four_languages(spark):
+    lines = ["Alle Rechte vorbehalten.", "Unsere DATENSCHUTZERKLÄRUNG gilt.", "Tous droits réservés.", "Voir les conditions d’utilisation.", "Todos los derechos reservados.", "Política de cookies.", "We accept all cookies."]
+    clean = ["Der Datenschutz ist ihm wichtig.", "Elle voulait lire la suite.", "Los derechos de todos cuentan."]
+    df = spark.createDataFrame([(1, "\n".join(lines + clean + ["They sign in " + "plain words " * 20 + "here."]))], "doc_id long, text string")
+    assert line_quality.judge(df).first().clean_text.split("\n")[:-1] == clean
+
+
 def test_a_paragraph_may_end_anywhere(spark):
     inside = "Plain words stand in this line of text, one after one. " * 4
     df = spark.createDataFrame([(1, inside + "and then it"), (2, "no mark at all " * 20), (3, "Short. but cut\n" * 9)], "doc_id long, text string")
