@@ -68,7 +68,7 @@ def fails_navigation(line: Column) -> Column:
 
 
 def fails_boilerplate(line: Column) -> Column:
-    return F.rlike(line, F.lit(BOILERPLATE)) & (n_words_in(line) <= 30)
+    return (n_words_in(line) <= 30) & F.rlike(line, F.lit(BOILERPLATE))
 
 
 def line_passes(line: Column) -> Column:
