@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraweave.llm.common import Tables, partitions, without
-from terraweave.llm.components import components
+from terraweave.llm.components import components, star
 from terraweave.llm.similar import kept_rows, text_hash
 
 BITS = 3
@@ -121,25 +121,6 @@ def _search_long(fps: np.ndarray, mask: int) -> Iterator[tuple[np.ndarray, np.nd
             yield fps[hit], other[hit]
 
 
-def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs: no more edges than nodes."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        while not np.array_equal(new, new[new]):
-            new = new[new]
-        if np.array_equal(new, root):
-            break
-        root = new
-    inner = root != np.arange(len(nodes))
-    return nodes[inner], nodes[root[inner]]
-
-
 def _links(keys: np.ndarray, blocks: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links within lists; all arrays are sorted by key."""
     cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1]), True])
@@ -149,7 +130,7 @@ def _links(keys: np.ndarray, blocks: np.ndarray, fps: np.ndarray) -> tuple[np.nd
         part = np.unique(fps[cuts[g] : cuts[g + 1]])
         pairs = list(_search_long(part, int(MASKS[blocks[cuts[g]]])))
         if pairs:
-            found.append(_star(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])))
+            found.append(star(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])))
     short = np.repeat(lengths <= LONG, lengths) & np.repeat(lengths > 1, lengths)
     keys, fps = keys[short], fps[short]
     end = np.searchsorted(keys, keys, side="right") if len(keys) else np.zeros(0, np.int64)
@@ -162,11 +143,11 @@ def _links(keys: np.ndarray, blocks: np.ndarray, fps: np.ndarray) -> tuple[np.nd
         if ok.any():
             found.append((fps[at][ok], fps[at + gap][ok]))
             if sum(len(f[0]) for f in found) > 4 * BATCH:
-                found = [_star(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))]
+                found = [star(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))]
         gap += 1
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return _star(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+    return star(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -226,7 +207,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """``df`` with one document of each group of near-duplicates, the one with the smallest key.
 
-    Near-duplicates have a similarity of 0.8 or more, which three bits of a fingerprint cannot find; see ``similar``.
+    Near-duplicates have a similarity of 0.8 or more, which three bits of a short fingerprint cannot find; ``similar`` indexes a longer one and verifies.
     A row is known by its key and text: other rows of the same key are judged by their own texts, ties of the smallest key go to the
     smaller hash of the text, and of rows with equal key and text one stays. Of a group's rows without a key one stays as well."""
     kept = kept_rows(df, key, text, shingle).select(F.col("k").alias("__tw_key"), F.col("t").alias("__tw_t"))

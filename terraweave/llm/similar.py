@@ -1,14 +1,15 @@
-"""Near-duplicate documents at a similarity of 0.8 of their word shingles, for the pipeline's stage.
-
-SimHash fingerprints cannot say this much: pairs with a Jaccard similarity of 0.8 to 0.9 on shingles of five words differ in ten of 64
-bits (median), which is more than eight byte positions can guarantee a shared one for. So this module fills the same kind of
-index, positions of a fingerprint that are tallied for each pair that meets, with min-wise symbols in place of sign
-bits: a position is equal in two documents with a probability that grows with their similarity itself.
-
-A document has FUNCTIONS min-wise values of its shingles' hashes. BANDS sets of ROWS of them are its postings, and two bits of
-each are its sketch. Documents that meet in a list tally their shared positions, and pairs whose tally says LEAST or more
-are candidates. At a similarity of 0.8 a pair meets with a probability of 1 - 3e-6; the tally has a standard deviation of 0.03
-there, so LEAST lies four deviations below 0.8. A tally decides nothing else: candidates form components, the shingle
+"""Near-duplicate documents at a similarity of 0.8 of their word shingles, by SimHash, for the pipeline's stage.
+
+The method is that of ``simhash``: a fingerprint of sign bits, an index of its bytes by position, a tally of what pairs that meet
+there have in common, and a verification. 64 bits and three that differ cannot say a similarity of 0.8, at which pairs differ in
+ten of 64 bits (median). So a fingerprint has BITS sign bits here, each the majority of one bit of a set's shingle hashes: sets
+of a Jaccard similarity of 0.8 or more differ in a bit with a probability of acos(8/9) / pi = 0.152 at most, small ones of 0.161.
+
+The index posts a document under each of the BITS / 16 pairs of neighbouring bytes. At a similarity of 0.8 two documents share
+a pair of bytes with a probability of 0.07, and so meet in one list at least with 1 - 6e-6 (1 - 5e-5 at 0.161, twelve shingles of fifteen). Four
+shingles of five are the one case that differs in more (0.188): sets of four or five are posted under their subsets of four as well.
+Documents that meet tally the bits they share of TALLIED, and pairs that differ in APART of these or fewer are candidates; APART lies five
+deviations above 0.152. A tally decides nothing else: candidates form components, the shingle
 hashes of a component's documents are brought together, and documents are linked if their sets have a Jaccard similarity of
 SIMILAR or more. Linked documents form the components that are returned.
 
@@ -24,6 +25,8 @@ repeated rows are copies; a component of rows without a key has a null one; an e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraweave.llm.common import Tables, partitions
-from terraweave.llm.components import components
+from terraweave.llm.components import components, star
 
-FUNCTIONS = 256
-BANDS, ROWS = 24, 4
-SYMBOL_BITS = 2
-LEAST = 0.68
+BITS = 2560
+TALLIED = 256
+APART = 72
+#: The postings are searched in so many rounds, to keep the disk that their shuffles need low.
+ROUNDS = 4
 #: The least Jaccard similarity of a link, as a fraction.
 SIMILAR = (4, 5)
 LONG = 50_000
@@ -45,15 +49,21 @@ LONG = 50_000
 MANY = 400
 WIDE = 1_000_000
 #: Lists up to this length are compared pair by pair, many lists at once.
-SHORT = 64
+SHORT = 256
 BATCH = 100_000
-WORDS = FUNCTIONS * SYMBOL_BITS // 64
+#: So many pairs are held before a forest of them takes their place.
+PAIRS = 1_000_000
+#: One of so many rows tells which lists are long.
+SAMPLE = 16
+WORDS = TALLIED // 64
+#: Shingle hashes that are counted at once: a lane of a byte holds their number.
+COUNTED = 240
 
 _rng = np.random.default_rng(17)
-_FACTORS = _rng.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MASKS = _rng.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64)
-_BAND_FACTORS = _rng.integers(0, 1 << 63, (ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-NOTHING = np.zeros(FUNCTIONS, np.uint64)
+_FACTORS = _rng.integers(0, 1 << 63, BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TIES = _rng.integers(0, 2, BITS).astype(bool)
+_SHIFTS = [np.array([0, 1 << i], np.uint64)[None, :, None, None] for i in range(3)]
+_LANES = [np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F)]
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -69,58 +79,88 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, ends)), np.uint64, n)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each function over the hashes."""
-    if not len(hashes):
-        return NOTHING
-    best = np.full(FUNCTIONS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 256):
-        part = (hashes[None, i : i + 256] ^ _MASKS[:, None]) * _FACTORS[:, None]
-        np.minimum(best, part.min(axis=1), out=best)
-    return best
+def hash_words(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits of each hash."""
+    x = hashes[:, None] * _FACTORS
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    return x
 
 
-def sketch(values: np.ndarray) -> bytes:
-    """Two bit planes of FUNCTIONS bits."""
-    return b"".join(np.packbits((values >> np.uint64(b) & np.uint64(1)).astype(np.uint8)).tobytes() for b in range(8, 8 + SYMBOL_BITS))
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """The sign bits of a set: which of the BITS bits most hashes have; a constant decides where half of them do.
 
+    Bits are added up in lanes of two, four and eight bits, by threes, fives and the rest. The lanes leave the positions in
+    another order than that of the words, the same for all sets.
+    """
+    counts = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), COUNTED):
+        x = hash_words(hashes[i : i + COUNTED])
+        x = np.concatenate([x, np.zeros((-len(x) % 15, x.shape[1]), np.uint64)])[None]
+        for shift, lane, group in zip(_SHIFTS, _LANES, (3, 5, x.shape[1] // 15)):
+            x = x[:, None] >> shift
+            x &= lane
+            x = x.reshape(-1, group, x.shape[2] // group, x.shape[3])
+            x = x[:, 0] + x[:, 1] + x[:, 2] if group == 3 else x.sum(axis=1)
+        counts += x.reshape(-1).view(np.uint8)
+    return np.packbits(np.where(2 * counts == len(hashes), _TIES, 2 * counts > len(hashes))).tobytes()
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    x = (values[: BANDS * ROWS].reshape(BANDS, ROWS).T * _BAND_FACTORS).sum(axis=0, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+def subset_keys(hashes: np.ndarray) -> list[int]:
+    """Keys of a small set's subsets of four; none of other sets."""
+    if not 4 <= len(hashes) <= 5:
+        return []
+    return [xxhash.xxh64_intdigest(np.array(c).tobytes(), 43) - (1 << 63) for c in combinations(hashes, 4)]
 
 
 def text_hash(text: str) -> Column:
     return F.xxhash64(F.col(text).cast("binary"))
 
 
-def sketched(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """``(k, t, id, sketch, keys)``: ``t`` is the text's hash, ``id`` that of its set of shingles."""
+def fingerprinted(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """``(k, t, id, print, small)``: ``t`` is the text's hash, ``id`` that of its set of shingles, ``small`` the keys of its subsets."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                ids, values = [], []
+                ids, prints, small = [], [], []
                 for t in batch.column(2).slice(at, 1000):
                     hashes = np.unique(shingle_hashes(t.as_py() or b"", shingle))
                     ids.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
-                    values.append(minima(hashes))
-                keys = pa.array([band_keys(v) for v in values], pa.list_(pa.int64()))
+                    prints.append(fingerprint(hashes))
+                    small.append(subset_keys(hashes))
                 k, t = (batch.column(i).slice(at, 1000) for i in range(2))
                 ids = pa.array(np.array(ids, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([k, t, ids, pa.array([sketch(v) for v in values], pa.binary()), keys], names=["k", "t", "id", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([k, t, ids, pa.array(prints, pa.binary()), pa.array(small, pa.list_(pa.int64()))], names=["k", "t", "id", "print", "small"])
+
+    return df.select(F.col(key), text_hash(text), F.col(text).cast("binary")).mapInArrow(run, f"k {kind}, t long, id long, print binary, small array<long>")
+
+
+def flat(column: pa.Array, words: int) -> np.ndarray:
+    """Binary values of so many words each, as rows of an array."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words)
+
+
+def posted(distinct: DataFrame, round_no: int) -> DataFrame:
+    """``(id, sketch, keys)`` of ``distinct(id, print)``: the bits that are tallied, and the keys of a round's postings: a pair's place and bytes."""
 
-    return df.select(F.col(key), text_hash(text), F.col(text).cast("binary")).mapInArrow(run, f"k {kind}, t long, id long, sketch binary, keys array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = flat(batch.column(1), BITS // 64)
+            places = np.arange(round_no, BITS // 16, ROUNDS)
+            keys = (places << 16) + prints.view(np.uint16)[:, places].astype(np.int64)
+            ends = pa.array(np.arange(len(prints) + 1, dtype=np.int32) * len(places))
+            sketches = pa.array([x.tobytes() for x in prints[:, :WORDS]], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sketches, pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))], names=["id", "sketch", "keys"])
+
+    return distinct.select("id", "print").mapInArrow(run, "id long, sketch binary, keys array<long>")
 
 
 def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether rows of sketches share as many positions as a similarity of LEAST gives: 195."""
-    x = a ^ b
-    apart = np.bitwise_count(x[..., : WORDS // 2] | x[..., WORDS // 2 :]).sum(axis=-1, dtype=np.int64)
-    chance = 1 / (1 << SYMBOL_BITS)
-    return FUNCTIONS - apart >= FUNCTIONS * (LEAST + (1 - LEAST) * chance)
+    """Whether rows of sketches differ in APART bits or fewer."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) <= APART
 
 
 def _forest(ids: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,10 +182,11 @@ def _forest(ids: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _links(keys: np.ndarray, ids: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of all lists; rows are sorted by key."""
+    """A forest that connects what the tally finds close in any list; rows are sorted by key."""
     cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     sizes = np.diff(cuts)
-    u, v = [], []
+    none = np.zeros(0, np.int64)
+    u, v, held = [none], [none], 0
     for g in np.flatnonzero(sizes > SHORT):
         part = slice(cuts[g], cuts[g + 1])
         for out, got in zip((u, v), _forest(ids[part], sketches[part])):
@@ -157,9 +198,12 @@ def _links(keys: np.ndarray, ids: np.ndarray, sketches: np.ndarray) -> tuple[np.
         hit = at[_close(sketches[at], sketches[at + gap])]
         u.append(ids[hit])
         v.append(ids[hit + gap])
+        held += len(hit)
+        if held > PAIRS:
+            pairs = star(np.concatenate(u), np.concatenate(v))
+            u, v, held = [pairs[0]], [pairs[1]], 0
         gap += 1
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(u), np.concatenate(v)) if u else (none, none)
+    return star(np.concatenate(u), np.concatenate(v))
 
 
 def links(tables: Tables, distinct: DataFrame) -> DataFrame:
@@ -171,12 +215,10 @@ def links(tables: Tables, distinct: DataFrame) -> DataFrame:
 
         def out(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
             u, v = _links(*rows)
-            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), flat))
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), flat(batch.column(2), WORDS)))
             size += batch.num_rows
             if size >= BATCH:
                 rows = tuple(np.concatenate(c) for c in zip(*held))
@@ -188,7 +230,9 @@ def links(tables: Tables, distinct: DataFrame) -> DataFrame:
             yield out(tuple(np.concatenate(c) for c in zip(*held)))
 
     lists = distinct.select(F.explode("keys").alias("key"), "id", "sketch")
-    long = tables.save(lists.groupBy("key").count().filter(F.col("count") > LONG), "long")
+    sample = distinct.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select(F.explode("keys").alias("key"))
+    long = sample.groupBy("key").agg((SAMPLE * F.count("*")).alias("count")).filter(F.col("count") > LONG)
+    long = tables.save(long.coalesce(1), "long")
     if not long.isEmpty():
         # Rows of a long list go to all pairs of blocks that hold their own block.
         blocks = F.ceil(F.col("count") / (LONG // 2)).cast("long")
@@ -282,18 +326,21 @@ def verified(tables: Tables, sets: DataFrame) -> DataFrame:
 
 def grouped(tables: Tables, df: DataFrame, key: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame]:
     """``(k, t, id)`` for every row of ``df``, and ``(id, root, first)``: each set's component and smallest key."""
-    marked = tables.save(sketched(df, key, text, shingle), "sketches")
+    marked = tables.save(fingerprinted(df, key, text, shingle), "prints")
     # A set stands in the row of its smallest key; rows without one come last.
     one = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "t")).alias("one")
-    distinct = marked.groupBy("id").agg(one, F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys"))
-    distinct = tables.save(distinct.select("id", F.col("one.k").alias("first"), F.col("one.t").alias("t"), "sketch", "keys"), "distinct")
-    candidates = components(tables, tables.save(links(tables, distinct), "candidates"), "meeting")
+    distinct = marked.groupBy("id").agg(one, F.any_value("print").alias("print"), F.any_value("small").alias("small"))
+    distinct = tables.save(distinct.select("id", F.col("one.k").alias("first"), F.col("one.t").alias("t"), "print", "small"), "distinct")
+    small = distinct.filter(F.size("small") > 0).select("id", F.substring("print", 1, TALLIED // 8).alias("sketch"), F.col("small").alias("keys"))
+    rounds = [posted(distinct, i) for i in range(ROUNDS)] + [small]
+    names = [f"candidates-{i}" for i in range(len(rounds))]
+    candidates = components(tables, reduce(DataFrame.unionByName, [tables.save(links(tables, r), n) for r, n in zip(rounds, names)]), "meeting")
     wanted = distinct.join(candidates, F.col("id") == F.col("node")).select("first", F.col("t").alias("__tw_t"), "id", "root")
     texts = df.select(F.col(key).alias("k"), text_hash(text).alias("t"), F.col(text).cast("binary").alias("text"))
     texts = texts.join(wanted, F.col("k").eqNullSafe(F.col("first")) & (F.col("t") == F.col("__tw_t"))).select("root", "id", "text")
     sets = tables.save(shingle_sets(texts, shingle), "sets")
     edges = tables.save(verified(tables, sets), "links")
-    tables.drop("candidates", "long", "sets", "large")
+    tables.drop(*names, "long", "sets", "large")
     rooted = distinct.select("id", "first").join(components(tables, edges), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
     rooted = tables.save(rooted.select("id", "root", "first"), "rooted")
     tables.drop("distinct", "links")
@@ -318,5 +365,5 @@ def kept_rows(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     least = marked.groupBy("id", F.col("k").isNull().alias("none")).agg(F.min(F.struct("k", "t")).alias("one"))
     least = least.join(rooted.select("id", "root"), "id").groupBy("root", "none").agg(F.min("one").alias("one"))
     kept = tables.save(least.select("one.k", "one.t"), "kept")
-    tables.drop("rooted", "sketches")
+    tables.drop("rooted", "prints")
     return kept

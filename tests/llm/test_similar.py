@@ -143,3 +143,45 @@ def test_rows_of_one_key_are_judged_by_their_texts(spark):
     got = simhash.drop_near_duplicates(df).collect()
     assert {tuple(r) for r in got if r.doc_id} == {rows[0], rows[2]}
     assert len(got) == 3 and [r.text for r in got if r.doc_id is None][0] in {t for k, t in rows if k is None}
+
+
+def test_candidates_come_from_sign_bits():
+    """The fingerprint is a SimHash: each bit is the majority of one bit of the shingles' hashes."""
+    rng = np.random.default_rng(4)
+    for n in (1, 4, 15, 240, 241, 700):
+        hashes = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        words = similar.hash_words(hashes).view(np.uint8)
+        counts = np.unpackbits(words.reshape(n, -1), axis=1).sum(axis=0)
+        got = np.unpackbits(np.frombuffer(similar.fingerprint(hashes), np.uint8)).sum()
+        assert (2 * counts > n).sum() <= got <= (2 * counts >= n).sum()
+        single = [np.unpackbits(np.frombuffer(similar.fingerprint(hashes[i : i + 1]), np.uint8)) for i in range(n)]
+        votes = 2 * np.sum(single, axis=0, dtype=np.int64) - n
+        print_ = np.unpackbits(np.frombuffer(similar.fingerprint(hashes), np.uint8))
+        assert (print_[votes > 0] == 1).all() and (print_[votes < 0] == 0).all()
+
+
+def posting_keys(hashes):
+    """The keys of one set's postings, of all rounds."""
+    pairs = np.frombuffer(similar.fingerprint(hashes), np.uint16).astype(np.int64)
+    return set(((np.arange(len(pairs)) << 16) + pairs).tolist()) | set(similar.subset_keys(hashes))
+
+
+@pytest.mark.parametrize("shared, a, b", [(4, 1, 0), (8, 1, 1), (12, 3, 0), (80, 10, 10), (800, 100, 100), (800, 200, 0)])
+def test_pairs_at_the_line_meet_and_pass_the_tally(shared, a, b):
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        hashes = rng.integers(0, 1 << 63, shared + a + b, dtype=np.uint64)
+        x, y = np.sort(hashes[: shared + a]), np.sort(np.r_[hashes[:shared], hashes[shared + a :]])
+        assert posting_keys(x) & posting_keys(y)
+        assert similar._close(*(np.frombuffer(similar.fingerprint(s), np.uint64)[: similar.WORDS] for s in (x, y)))
+
+
+def test_small_sets_find_each_other(spark):
+    """Four shingles of five are a similarity of 0.8, which few sign bits tell."""
+    texts = {}
+    for i in range(150):
+        words = [f"w{i}x{j}" for j in range(9)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join(words[:-1])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar.near_copies(df).collect()}
+    assert got == {k: k - k % 2 for k in texts}
