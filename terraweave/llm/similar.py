@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,8 @@ SHORT = 256
 BATCH = 100_000
 #: So many pairs are held before a forest of them takes their place.
 PAIRS = 1_000_000
+#: So many edges are brought together by one task, for a forest of theirs to take their place.
+EDGES = 200_000
 #: One of so many rows tells which lists are long.
 SAMPLE = 16
 WORDS = TALLIED // 64
@@ -324,6 +326,43 @@ def verified(tables: Tables, sets: DataFrame) -> DataFrame:
     return rows.repartition(partitions(sets.sparkSession), "key").sortWithinPartitions("key").mapInArrow(search, "u long, v long")
 
 
+def thinned(tables: Tables, edges: DataFrame, name: str) -> DataFrame:
+    """Edges that connect what ``edges(u, v)`` connect, fewer of them.
+
+    Each list and each pair of blocks has a forest of its own, so a group has an edge for each of its rows from every one of them.
+    Forests of EDGES edges that are read together replace these, again and again while that halves them: a group that fits
+    in one task ends with an edge for each row but one, however many lists it is in.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            u, v = star(*(np.concatenate(c) for c in zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= 2 * EDGES:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    rows, last = edges.count(), None
+    for i in count():
+        tasks = max(1, -(-rows // EDGES))
+        thin = tables.save(edges.coalesce(tasks).mapInArrow(run, "u long, v long"), f"{name}-{i}")
+        if last:
+            tables.drop(last)
+        left, last = thin.count(), f"{name}-{i}"
+        if tasks == 1 or 2 * left > rows:
+            return thin
+        edges, rows = thin, left
+
+
 def grouped(tables: Tables, df: DataFrame, key: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame]:
     """``(k, t, id)`` for every row of ``df``, and ``(id, root, first)``: each set's component and smallest key."""
     marked = tables.save(fingerprinted(df, key, text, shingle), "prints")
@@ -334,12 +373,13 @@ def grouped(tables: Tables, df: DataFrame, key: str, text: str, shingle: int) ->
     small = distinct.filter(F.size("small") > 0).select("id", F.substring("print", 1, TALLIED // 8).alias("sketch"), F.col("small").alias("keys"))
     rounds = [posted(distinct, i) for i in range(ROUNDS)] + [small]
     names = [f"candidates-{i}" for i in range(len(rounds))]
-    candidates = components(tables, reduce(DataFrame.unionByName, [tables.save(links(tables, r), n) for r, n in zip(rounds, names)]), "meeting")
+    meeting = thinned(tables, reduce(DataFrame.unionByName, [tables.save(links(tables, r), n) for r, n in zip(rounds, names)]), "thinned")
+    candidates = components(tables, meeting, "meeting")
     wanted = distinct.join(candidates, F.col("id") == F.col("node")).select("first", F.col("t").alias("__tw_t"), "id", "root")
     texts = df.select(F.col(key).alias("k"), text_hash(text).alias("t"), F.col(text).cast("binary").alias("text"))
     texts = texts.join(wanted, F.col("k").eqNullSafe(F.col("first")) & (F.col("t") == F.col("__tw_t"))).select("root", "id", "text")
     sets = tables.save(shingle_sets(texts, shingle), "sets")
-    edges = tables.save(verified(tables, sets), "links")
+    edges = thinned(tables, tables.save(verified(tables, sets), "links"), "similar")
     tables.drop(*names, "long", "sets", "large")
     rooted = distinct.select("id", "first").join(components(tables, edges), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
     rooted = tables.save(rooted.select("id", "root", "first"), "rooted")

@@ -185,3 +185,23 @@ def test_small_sets_find_each_other(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in similar.near_copies(df).collect()}
     assert got == {k: k - k % 2 for k in texts}
+
+
+@pytest.mark.parametrize("together", [200_000, 500])
+def test_a_group_in_many_lists_has_few_edges(spark, monkeypatch, together):
+    """Near copies meet in most lists; what goes on to the components does not grow with the number of lists or blocks."""
+    monkeypatch.setattr(similar, "EDGES", together, raising=False)
+    monkeypatch.setattr(similar, "MANY", 20)
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = {}
+    for i in range(200):
+        copy = list(words)
+        for _ in range(3):
+            copy[rng.randrange(300)] = f"v{rng.randrange(10**6)}"
+        texts[i] = " ".join(copy)
+    edges, plain = [], similar.components
+    monkeypatch.setattr(similar, "components", lambda tables, df, *name: edges.append(df.count()) or plain(tables, df, *name))
+    got = {r.doc_id: r.component_id for r in similar.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_components(texts, 0.8) and set(got.values()) == {0}
+    assert len(edges) == 2 and max(edges) <= (200 if together > 500 else 1000), edges
