@@ -47,6 +47,8 @@ from terraweave.llm.common import Tables, partitions, with_least
 BASE = 20
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
+#: Bytes of runs that are ranked at once; a task takes about 90 times as many.
+SORTED = 1 << 19
 #: Runs that are held before equal ones among them are merged.
 HELD = 400_000
 #: A rank with more runs than this, and than a quarter of a task's share, is no task's work; it is resolved position by position.
@@ -213,6 +215,25 @@ def _rerank(pairs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     return rank, np.bincount(ids)[rank]
 
 
+def whole_ranks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows sorted by rank, their first column, in tables that split no rank: those of ``most`` bytes of their last column and of the batch and rank these end in."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(batch.num_columns - 1).nbytes
+        if size >= most:
+            t = pa.Table.from_batches(held)
+            ranks = t.column(0).to_numpy()
+            last = int(np.searchsorted(ranks, ranks[-1]))  # the last rank may go on
+            if last:
+                yield t.slice(0, last)
+                t = t.slice(last)
+            held, size = t.combine_chunks().to_batches(), t.column(t.num_columns - 1).nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def doubled(rank: np.ndarray, order: np.ndarray, data: np.ndarray, begin: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
     """For each position of the runs whether its string is one of a smaller order, too.
 
@@ -313,10 +334,7 @@ def spans(tables: Tables, docs: DataFrame, length: int, plain: bool) -> DataFram
         )
 
     def double(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for t in whole_ranks(batches, SORTED):
             r, k, o, s = (t.column(i).to_numpy() for i in range(4))
             parts = t.column(4).combine_chunks()
             sizes = np.diff(np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1])
@@ -327,20 +345,6 @@ def spans(tables: Tables, docs: DataFrame, length: int, plain: bool) -> DataFram
                 keys, found = _spans_gone(k, s, n, gone, length)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(found)], names=["key", "span"])
 
-        for batch in batches:
-            held.append(batch)
-            size += batch.column(4).nbytes
-            if size >= 2 * CHUNK:
-                t = pa.Table.from_batches(held)
-                ranks = t.column(0).to_numpy()
-                last = int(np.searchsorted(ranks, ranks[-1]))  # the last rank may go on
-                if last:
-                    yield from out(t.slice(0, last))
-                    t = t.slice(last)
-                held, size = t.combine_chunks().to_batches(), t.column(4).nbytes
-        if held:
-            yield from out(pa.Table.from_batches(held))
-
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -429,7 +433,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
                 pieces = [t[a:b] for a, b in zip(edges[::2], edges[1::2])]
                 left = b"".join(pieces)
                 out.append((len(t), len(t) - len(left), len(gone), hashlib.sha256(left).hexdigest()))
-                kept.append(None if none else b"".join(p.decode("utf-8", "ignore").encode() for p in pieces).decode())
+                if texts:
+                    kept.append(None if none else b"".join(p.decode("utf-8", "ignore").encode() for p in pieces).decode())
             arrays = list(batch.columns[: len(rest)])
             cols = list(zip(*out)) or [()] * 4
             if texts:

@@ -1,6 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from terraweave.llm import queries, suffix_dedup
@@ -81,3 +84,22 @@ def test_nulls_ties_clashes_and_empty(spark):
     cut = suffix_dedup.remove_repeats(df, texts=True)
     assert cut.columns[:2] == ["doc_id", "text"] and text + "other" in {r.text for r in cut.collect()}
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_runs_are_ranked_in_little_memory():
+    """Ten MB of runs come in tables of whole ranks, and ranking the largest of them takes far less than an executor's worker may."""
+    rng = np.random.default_rng(3)
+    ranks = np.sort(rng.integers(0, 4000, 160_000))
+    texts = rng.integers(97, 103, (4000, 64), dtype=np.uint8)[ranks]
+    texts[rng.random(160_000) < 0.7, 30] = 120
+    rows = pa.table({"rank": ranks, "content": pa.array([t.tobytes() for t in texts], pa.binary())})
+    tables = list(suffix_dedup.whole_ranks(iter(rows.to_batches(2000)), suffix_dedup.SORTED))
+    assert pa.concat_tables(tables).equals(rows)
+    firsts, lasts = ([t.column(0)[i].as_py() for t in tables] for i in (0, -1))
+    assert all(a < b for a, b in zip(lasts, firsts[1:]))
+    n = max(len(t) for t in tables)
+    tracemalloc.start()
+    suffix_dedup.doubled(ranks[:n], np.arange(n), texts[:n].ravel(), np.arange(n) * 64, np.full(n, 15), 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6, peak
