@@ -170,17 +170,24 @@ def write(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: s
     dtype = "<u4" if wide else "<u2"
     kind = df.schema[key].dataType
     raw_schema = f"block long, first long, n_tokens long, doc_ids array<{kind.simpleString()}>, lengths array<long>, ids binary"
+    # A task's last row counts its ids, so they are not read once more for the table.
+    counted = f"{raw_schema}, seen array<long>, counts array<long>"
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = encoder(tokenizer), np.array([end], np.uint32)
         held: list[np.ndarray] = []
         keys: list = []
         size = first = block = 0
+        total, key_type = np.zeros(max(enc.size, end + 1), np.int64), None
+
+        def row(*values: object) -> pa.RecordBatch:
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(key_type), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["block", "first", "n_tokens", "doc_ids", "lengths", "ids", "seen", "counts"])
 
         def flush() -> pa.RecordBatch:
-            columns = [[block], [first], [size], [list(keys)], [[len(h) for h in held]], [np.concatenate(held).astype(dtype).tobytes()]]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(key_type), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["block", "first", "n_tokens", "doc_ids", "lengths", "ids"])
+            ids = np.concatenate(held)
+            np.add(total, np.bincount(ids, minlength=len(total)), out=total)
+            return row(block, first, size, list(keys), [len(h) for h in held], ids.astype(dtype).tobytes(), None, None)
 
         for batch in batches:
             key_type = batch.column(0).type
@@ -193,23 +200,15 @@ def write(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: s
                     first, block, size, held, keys = first + size, block + 1, 0, [], []
         if held:
             yield flush()
+        if key_type is not None:
+            seen = np.flatnonzero(total)
+            yield row(-1, first, 0, [], [], None, seen, total[seen])
 
     order = [F.col(key).asc_nulls_first(), F.xxhash64(text)]
     by_range = df.select(F.col(key), F.col(text)).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    raw = tables.save(by_range.mapInArrow(tokenize, raw_schema).withColumn("shard", F.spark_partition_id()), "raw")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids in batch.column(0):
-                got = np.bincount(np.frombuffer(ids.as_py(), dtype), minlength=len(total))
-                got[: len(total)] += total
-                total = got
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
-
+    raw = tables.save(by_range.mapInArrow(tokenize, counted).withColumn("shard", F.spark_partition_id()), "raw")
     # The vocabulary bounds these rows.
-    counts = raw.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = raw.filter("block < 0").select(F.inline(F.arrays_zip("seen", "counts"))).groupBy(F.col("seen").alias("id")).agg(F.sum("counts").alias("n")).toPandas()
     table = Table.of_counts(counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
     ids, freqs = table.ids, table.freqs
 
@@ -221,7 +220,7 @@ def write(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: s
 
     rows = spark.createDataFrame([(int(i), int(f)) for i, f in zip(ids, freqs)], "id long, freq long")
     rows.coalesce(1).write.parquet(f"{path}/table")
-    blocks = raw.select("shard", "block", "first", "n_tokens", "doc_ids", "lengths", "ids")
+    blocks = raw.filter("block >= 0").select("shard", "block", "first", "n_tokens", "doc_ids", "lengths", "ids")
     out = raw_schema.replace("ids binary", "payload binary")
     blocks.mapInArrow(encode, f"shard int, {out}").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     tables.drop("raw")

@@ -1,10 +1,13 @@
+import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from terraweave.llm import queries, token_store
+from terraweave.llm import queries, token_store, tokens
+from terraweave.llm.common import Tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +83,31 @@ def test_nulls_ties_and_empty(spark, tmp_path):
     token_store.write(df.limit(0), str(tmp_path / "b"), queries.TOKENIZER)
     assert token_store.read(spark, str(tmp_path / "b")).count() == 0
     assert token_store.read_range(spark, str(tmp_path / "b"), 0, 10).count() == 0
+
+
+def test_ids_of_texts_with_and_without_white_space_together():
+    enc, rng = tokens.encoder(queries.TOKENIZER), random.Random(4)
+    parts = ["a", "bé", "漢", " ", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u3000", "\u2003", "\u2014", "'s", "'ll", "1", "٣", ".", "!?", "🙂", "the", "\r\n", "'", "½"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(8000)]
+    for t in texts:
+        assert enc.ids(t).tolist() == enc.plain.encode(t, add_special_tokens=False).ids, t
+        assert not (tokens.lone(t) and re.search(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}", t)), t
+    assert enc.lone is not None and 1000 < sum(map(tokens.lone, texts)) < 7000
+
+
+def test_ids_are_counted_as_they_are_written(spark, tmp_path, monkeypatch):
+    """Raw ids pass through Python twice, to be made and to be coded; their counts come from the first pass."""
+    raw, plain = [], Tables.save
+    monkeypatch.setattr(Tables, "save", lambda self, df, name: raw.append(plain(self, df, name).cache()) or raw[-1])
+    monkeypatch.setattr(token_store, "BLOCK", 3000)
+    token_store.write(queries.table(spark, SF, "documents"), str(tmp_path), queries.TOKENIZER)
+    rows = raw[0].collect()
+    want = np.zeros(1 << 16, np.int64)
+    for r in rows:
+        if r.block >= 0:
+            want += np.bincount(np.frombuffer(r.ids, "<u2"), minlength=len(want))
+    for r in rows:
+        if r.block < 0:
+            want[r.seen] -= r.counts
+    assert not want.any() and sum(r.block < 0 for r in rows) >= 1
+    raw[0].unpersist()
