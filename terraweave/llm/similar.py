@@ -15,6 +15,7 @@ SIMILAR or more. Linked documents form the components that are returned.
 
 Documents with equal sets are one row of the index. A list of more than LONG rows is dealt to blocks, and each pair of blocks is
 searched on its own, so that no task holds a list; a component of candidates of many rows (see MANY) or more than WIDE hashes likewise.
+What the first round of postings connects is posted under its root in the others, and forests of many lists are replaced by fewer edges (see ``thinned``).
 Within a block rows leave the search when they are reached (in a list by the tally, in a component by a verified link),
 so a group of copies costs about its size times the number of its layers.
 
@@ -209,7 +210,7 @@ def _links(keys: np.ndarray, ids: np.ndarray, sketches: np.ndarray) -> tuple[np.
 
 
 def links(tables: Tables, distinct: DataFrame) -> DataFrame:
-    """``(u, v)`` of ``distinct(id, sketch, keys)``: edges that connect candidates."""
+    """``(u, v)`` of ``distinct(id, sketch, keys)``: edges that connect candidates; rows that are known to be connected may share an ``id``."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -232,13 +233,13 @@ def links(tables: Tables, distinct: DataFrame) -> DataFrame:
             yield out(tuple(np.concatenate(c) for c in zip(*held)))
 
     lists = distinct.select(F.explode("keys").alias("key"), "id", "sketch")
-    sample = distinct.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select(F.explode("keys").alias("key"))
+    sample = distinct.filter(F.pmod(F.xxhash64("sketch"), F.lit(SAMPLE)) == 0).select(F.explode("keys").alias("key"))
     long = sample.groupBy("key").agg((SAMPLE * F.count("*")).alias("count")).filter(F.col("count") > LONG)
     long = tables.save(long.coalesce(1), "long")
     if not long.isEmpty():
         # Rows of a long list go to all pairs of blocks that hold their own block.
         blocks = F.ceil(F.col("count") / (LONG // 2)).cast("long")
-        dealt = lists.join(long, "key", "left").withColumn("own", F.pmod(F.xxhash64("id"), F.coalesce(blocks, F.lit(1).cast("long"))))
+        dealt = lists.join(long, "key", "left").withColumn("own", F.pmod(F.xxhash64("sketch"), F.coalesce(blocks, F.lit(1).cast("long"))))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(blocks, F.lit(1).cast("long")) - 1)).alias("other")
         dealt = dealt.select("key", "id", "sketch", "count", "own", other)
         pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
@@ -370,17 +371,22 @@ def grouped(tables: Tables, df: DataFrame, key: str, text: str, shingle: int) ->
     one = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "t")).alias("one")
     distinct = marked.groupBy("id").agg(one, F.any_value("print").alias("print"), F.any_value("small").alias("small"))
     distinct = tables.save(distinct.select("id", F.col("one.k").alias("first"), F.col("one.t").alias("t"), "print", "small"), "distinct")
-    small = distinct.filter(F.size("small") > 0).select("id", F.substring("print", 1, TALLIED // 8).alias("sketch"), F.col("small").alias("keys"))
-    rounds = [posted(distinct, i) for i in range(ROUNDS)] + [small]
-    names = [f"candidates-{i}" for i in range(len(rounds))]
-    meeting = thinned(tables, reduce(DataFrame.unionByName, [tables.save(links(tables, r), n) for r, n in zip(rounds, names)]), "thinned")
+    # What the first round connects goes on under its root, so that the rounds after it have no edge for it again.
+    first = thinned(tables, tables.save(links(tables, posted(distinct, 0)), "candidates-0"), "first")
+    known = distinct.join(components(tables, first, "known"), F.col("id") == F.col("node"), "left")
+    known = tables.save(known.select(F.coalesce("root", "id").alias("id"), "print", "small"), "rounds")
+    small = known.filter(F.size("small") > 0).select("id", F.substring("print", 1, TALLIED // 8).alias("sketch"), F.col("small").alias("keys"))
+    rounds = [posted(known, i) for i in range(1, ROUNDS)] + [small]
+    names = [f"candidates-{i}" for i in range(len(rounds) + 1)]
+    later = [tables.save(links(tables, r), n) for r, n in zip(rounds, names[1:])]
+    meeting = thinned(tables, reduce(DataFrame.unionByName, [first, *later]), "thinned")
     candidates = components(tables, meeting, "meeting")
     wanted = distinct.join(candidates, F.col("id") == F.col("node")).select("first", F.col("t").alias("__tw_t"), "id", "root")
     texts = df.select(F.col(key).alias("k"), text_hash(text).alias("t"), F.col(text).cast("binary").alias("text"))
     texts = texts.join(wanted, F.col("k").eqNullSafe(F.col("first")) & (F.col("t") == F.col("__tw_t"))).select("root", "id", "text")
     sets = tables.save(shingle_sets(texts, shingle), "sets")
     edges = thinned(tables, tables.save(verified(tables, sets), "links"), "similar")
-    tables.drop(*names, "long", "sets", "large")
+    tables.drop(*names, "rounds", "long", "sets", "large")
     rooted = distinct.select("id", "first").join(components(tables, edges), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
     rooted = tables.save(rooted.select("id", "root", "first"), "rooted")
     tables.drop("distinct", "links")

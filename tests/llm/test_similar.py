@@ -204,4 +204,21 @@ def test_a_group_in_many_lists_has_few_edges(spark, monkeypatch, together):
     monkeypatch.setattr(similar, "components", lambda tables, df, *name: edges.append(df.count()) or plain(tables, df, *name))
     got = {r.doc_id: r.component_id for r in similar.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == brute_components(texts, 0.8) and set(got.values()) == {0}
-    assert len(edges) == 2 and max(edges) <= (200 if together > 500 else 1000), edges
+    assert len(edges) == 3 and max(edges) <= (200 if together > 500 else 1000), edges
+
+
+def test_later_rounds_give_no_edges_again(spark, monkeypatch):
+    """A group that the first round of postings connects has no edge from the rounds after it."""
+    rng = random.Random(13)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(i, " ".join([*words[:-1], f"v{i}"])) for i in range(100)]
+    saved, save = {}, Tables.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        saved[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Tables, "save", counted)
+    assert {r.component_id for r in similar.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+    assert saved["candidates-0"] >= 99 and not any(saved[f"candidates-{i}"] for i in range(1, similar.ROUNDS))
