@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -84,23 +86,31 @@ _CYRILLIC = dict(
 )
 
 
+_LATIN = _GREEK | _CYRILLIC
+
+
 def _latin_of(c: str) -> str:
-    table = _GREEK | _CYRILLIC
     low = c.lower()
-    if low in table:
-        out = table[low]
+    if low in _LATIN:
+        out = _LATIN[low]
         return out if c == low else out.capitalize()
     return c
 
 
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
+
+
+@lru_cache(1 << 16)
+def _latin_run(run: str) -> str:
+    return "".join(_latin_of(c) for c in unicodedata.normalize("NFD", run) if unicodedata.category(c) != "Mn")
+
+
 def to_latin(text: str | None) -> str | None:
-    """Letters in Latin script without accents, Latin ones that are no accented letter as they are; scripts other than Greek and Cyrillic stay."""
-    if text is None:
-        return None
-    if text.isascii():
+    """Letters in Latin script without accents, Latin ones that are no accented letter as they are; scripts other than Greek and Cyrillic stay.
+    Marks are never reordered across a letter of ASCII, so what stands between those is put in Latin letters by itself, equal runs once."""
+    if text is None or text.isascii():
         return text
-    plain = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
-    return unicodedata.normalize("NFC", "".join(map(_latin_of, plain)))
+    return unicodedata.normalize("NFC", _NOT_ASCII.sub(lambda m: _latin_run(m[0]), text))
 
 
 @F.pandas_udf(T.StringType())

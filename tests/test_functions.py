@@ -112,3 +112,10 @@ def test_reference_systems(spark):
         at(1.0, 1.0, 4326, 9999)
     metres = one(spark, geometry.area(crs.flat(g("POLYGON ((23 38, 23.01 38, 23.01 38.01, 23 38.01, 23 38))"))))[0]
     assert metres == pytest.approx(878 * 1110, rel=0.01)
+
+
+def test_equal_runs_of_letters_are_put_in_latin_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(text.unicodedata, "category", lambda c, real=text.unicodedata.category: seen.append(c) or real(c))
+    assert text.to_latin("Größe, déjà vu. Αθήνα! " * 1000) == "Große, deja vu. Athina! " * 1000
+    assert len(seen) < 100
