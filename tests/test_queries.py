@@ -48,7 +48,7 @@ def test_ways_of_a_million_parts(spark, tmp_path):
 
 
 #: Queries whose work on a row costs more than to move it.
-COSTLY = ["f3_cql_spatial", "e23_collections", "e17_area_in_metres", "f9_crossing_rings", "r4_reprojected_output", "f9_valid_of_kind"]
+COSTLY = ["f3_cql_spatial", "e23_collections", "e17_area_in_metres", "f9_crossing_rings", "r4_reprojected_output", "f9_valid_of_kind", "r7_synthetic"]
 
 
 @pytest.mark.parametrize("name", COSTLY)
