@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from terraweave.functions import crs, geometry
 from terraweave.operators.filters import is_valid
+from terraweave.sinks import single
 
 _CRS = r"^<[^>]*/EPSG/0/(\d+)>\s*(.*)$"
 
@@ -94,24 +95,11 @@ def geojson_features(rows: DataFrame, geometry_column: str, source: int = 4326,
 
 def write_geojson(rows: DataFrame, path: str, geometry_column: str, source: int = 4326, target: int | None = None) -> None:
     """One valid document in one file: commas stand before all features but the first."""
-    spark = rows.sparkSession
-    body = geojson_features(rows, geometry_column, source, target).select("value", F.lit(1).alias("n"))
     head = '{"type":"FeatureCollection",'
     if target and target != source:
         head += f'"crs":{{"type":"name","properties":{{"name":"urn:ogc:def:crs:EPSG::{target}"}}}},'
-    ends = spark.createDataFrame([(head + '"features":[', 0), ("]}", 2)], "value string, n int")
-    whole = body.unionByName(ends).coalesce(1).sortWithinPartitions("n")
-
-    def commas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = True
-        for pdf in batches:
-            out = []
-            for v, n in zip(pdf["value"], pdf["n"]):
-                out.append(v if n != 1 or first else "," + v)
-                first = first and n != 1
-            yield pd.DataFrame({"value": out})
-
-    whole.mapInPandas(commas, "value string").write.mode("overwrite").text(path)
+    lines = geojson_features(rows, geometry_column, source, target).select(F.concat(F.lit(","), "value").alias("value"))
+    single.write(lines, path, head + '"features":[', "]}", skip=1)
 
 
 def promoted(wkt: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraweave.sinks import single
+
 STRING = "http://www.w3.org/2001/XMLSchema#string"
 
 
@@ -77,7 +79,4 @@ def write(triples: DataFrame, path: str, serialization: str = "N-TRIPLES") -> No
     elif kind in ("TURTLE", "TTL", "N3"):
         turtle(triples).write.mode("overwrite").text(path)
     else:
-        spark = triples.sparkSession
-        body = rdf_xml(triples).withColumn("n", F.lit(1))
-        ends = spark.createDataFrame([(RDF_OPEN, 0), (RDF_CLOSE, 2)], "value string, n int")
-        body.unionByName(ends).coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+        single.write(rdf_xml(triples), path, RDF_OPEN, RDF_CLOSE)

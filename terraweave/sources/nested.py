@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraweave.functions import geometry
+from terraweave.sources import parts
 
 FEATURES = "fid string, wkt string, attrs map<string,string>"
 
@@ -57,23 +59,21 @@ def row_id(path: str | list[str], file: Column, number: Column) -> Column:
 
 
 def json_file(spark: SparkSession, path: str | list[str], x: str | None = None, y: str | None = None) -> DataFrame:
-    """Records are the objects among the children of each file's root, or the elements of its arrays."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-
-    @F.pandas_udf("array<string>")
-    def records(text: pd.Series) -> pd.Series:
-        def one(t: str) -> list[str]:
-            value = json.loads(t.lstrip("﻿"))
-            items = value if isinstance(value, list) else list(value.values())
-            flat = [e for i in items for e in (i if isinstance(i, list) else [i])]
-            found = [e for e in flat if isinstance(e, dict)]
-            if isinstance(value, dict) and not found:
-                found = [value]
-            return [json.dumps(e) for e in found]
-
-        return text.map(one)
-
-    rows = whole.select("file", F.posexplode(records("value")).alias("n", "record")).withColumn("attrs", flattened("record"))
+    """Records are the objects among the children of each file's root, or the elements of its arrays; a root that has none is one itself."""
+
+    def records(file: BinaryIO) -> Iterator[tuple[int, str]]:
+        n, plain = 0, {}
+        for key, _, value, _ in parts.json_items(file):
+            for e in value if isinstance(value, list) else [value]:
+                if isinstance(e, dict):
+                    yield n, json.dumps(e)
+                    n += 1
+            if not n and key is not None:
+                plain.setdefault(key, value)
+        if not n and plain:
+            yield 0, json.dumps(plain)
+
+    rows = parts.split(spark, path, records, "n long, record string").withColumn("attrs", flattened("record"))
     wkt = F.lit(None).cast("string")
     if x and y:
         a, b = F.try_element_at("attrs", F.lit(x)), F.try_element_at("attrs", F.lit(y))
@@ -104,8 +104,16 @@ def geojson_wkt(g: Column, members: Column | None = None) -> Column:
 
 def geojson(spark: SparkSession, path: str | list[str]) -> DataFrame:
     own = "type: string, coordinates: string"
-    schema = f"features array<struct<id: string, properties: string, geometry: struct<{own}, geometries: array<struct<{own}>>>>>"
-    df = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("features"))
+    schema = f"id string, properties string, geometry struct<{own}, geometries: array<struct<{own}>>>"
+
+    def features(file: BinaryIO) -> Iterator[tuple[str]]:
+        for key, listed, value, text in parts.json_items(file):
+            if key == "features" and listed:
+                yield (text,)
+            elif key is None and isinstance(value, dict) and isinstance(value.get("features"), list):
+                yield from ((json.dumps(e),) for e in value["features"])
+
+    df = parts.split(spark, path, features, "feature string").select(F.from_json("feature", schema).alias("f")).filter("f is not null").select("f.*")
     return df.select(F.col("id").alias("fid"), geojson_wkt(F.col("geometry"), F.col("geometry.geometries")).alias("wkt"), flattened("properties").alias("attrs"))
 
 
@@ -155,15 +163,28 @@ def gpx(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def osm_xml(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``nodes``, ``ways`` and ``relations``, one scan each."""
-    tags = "tag array<struct<_k: string, _v: string>>"
-    as_map = F.coalesce(F.map_from_entries(F.transform("tag", lambda t: F.struct(t["_k"], t["_v"]))), F.create_map().cast("map<string,string>"))
-    nodes = _xml(spark, path, "node", f"_id string, _lat string, _lon string, {tags}").select(F.col("_id").alias("id"), F.col("_lon").alias("lon"), F.col("_lat").alias("lat"), as_map.alias("tags"))
-    ways = _xml(spark, path, "way", f"_id string, nd array<struct<_ref: string>>, {tags}")
-    ways = ways.select(F.col("_id").alias("id"), F.col("nd._ref").alias("refs"), as_map.alias("tags"))
-    rels = _xml(spark, path, "relation", f"_id string, member array<struct<_ref: string, _type: string, _role: string>>, {tags}")
-    member = F.transform("member", lambda m: F.struct(m["_ref"].alias("ref"), m["_type"].alias("type"), m["_role"].alias("role")))
-    return nodes, ways, rels.select(F.col("_id").alias("id"), member.alias("members"), as_map.alias("tags"))
+    """``nodes``, ``ways`` and ``relations``. For each of them one task cuts a file into its elements as a stream, and all tasks read these."""
+    kinds = ("node", "way", "relation")
+    text = lambda v: v.strip() if v is not None else None
+
+    def of(kind: str, columns: str, values: Callable[[ET.Element], tuple]) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = []
+                for xml in pdf["xml"]:
+                    e = ET.fromstring(xml)[0]
+                    tags = {text(t.get("k")): text(t.get("v")) for t in e.iter("tag") if t.get("k") is not None}
+                    rows.append((text(e.get("id")), *values(e), tags))
+                yield pd.DataFrame(rows, columns=names)
+
+        schema = f"id string, {columns}, tags map<string,string>"
+        names = ["id", *(c.split()[0] for c in re.split(r", (?=\w+ )", columns)), "tags"]
+        return parts.split(spark, path, lambda f: parts.xml_elements(f, lambda local, above, depth: local in kinds, only=kind), "n long, xml string").mapInPandas(run, schema)
+
+    member = lambda m: {k: text(m.get(k)) for k in ("ref", "type", "role")}
+    nodes = of("node", "lon string, lat string", lambda e: (text(e.get("lon")), text(e.get("lat"))))
+    ways = of("way", "refs array<string>", lambda e: ([text(c.get("ref")) for c in e.iter("nd")] or None,))
+    return nodes, ways, of("relation", "members array<struct<ref:string,type:string,role:string>>", lambda e: ([member(m) for m in e.iter("member")] or None,))
 
 
 # GML and KML geometries, element by element.
@@ -236,10 +257,10 @@ GEOMETRIES = {
 }
 
 
-def xml_feature(text: str) -> tuple[str | None, str | None, dict[str, str]]:
+def xml_feature(e: ET.Element | str) -> tuple[str | None, str | None, dict[str, str]]:
     """Id, first geometry and leaves of a feature element. Names of nested leaves are joined by dots; the
     first value of a name stands, attributes of references count as ``name.href``."""
-    e = ET.fromstring(text)
+    e = ET.fromstring(e) if isinstance(e, str) else e
     wkt, attrs = None, {}
 
     def walk(node: ET.Element, prefix: str) -> None:
@@ -264,17 +285,19 @@ def xml_feature(text: str) -> tuple[str | None, str | None, dict[str, str]]:
 
 def xml_features(spark: SparkSession, path: str | list[str], tag: str) -> DataFrame:
     """``features`` of every element named ``tag`` (without its prefix), whatever its schema: GML feature members, KML
-    placemarks, INSPIRE themes, metadata records. A file is read whole by one task."""
+    placemarks, INSPIRE themes, metadata records. One task cuts a file into them as a stream, all tasks read them."""
     paths = [path] if isinstance(path, str) else path
     one = len(paths) == 1 and "." in paths[0].rpartition("/")[2] and "*" not in paths[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"]):
-                root = ET.fromstring(bytes(content))
-                rows = [xml_feature(ET.tostring(e, encoding="unicode")) for e in root.iter() if _local(e) == tag]
+            rows = []
+            for file, n, xml in zip(pdf["file"], pdf["n"], pdf["xml"]):
                 own = "" if one else file.rpartition("/")[2] + "#"
-                rows = [(fid or f"{own}{tag}{i}", wkt, attrs) for i, (fid, wkt, attrs) in enumerate(rows)]
-                yield pd.DataFrame(rows, columns=["fid", "wkt", "attrs"])
+                for i, e in enumerate((e for e in ET.fromstring(xml).iter() if _local(e) == tag), n):
+                    fid, wkt, attrs = xml_feature(e)
+                    rows.append((fid or f"{own}{tag}{i}", wkt, attrs))
+            yield pd.DataFrame(rows, columns=["fid", "wkt", "attrs"])
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, FEATURES)
+    found = parts.split(spark, paths, lambda f: parts.xml_elements(f, lambda local, above, depth: local == tag), "n long, xml string")
+    return found.mapInPandas(run, FEATURES)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terraweave.plans import turtle
 from terraweave.plans.sparql import RDF_TYPE
+from terraweave.sources import parts
 
 SCHEMA = "s string, p string, o string, o_kind string, dt string, lang string"
 _NODE = r"(?:<([^>]*)>|(_:[^\s<]+?))"
@@ -82,14 +83,28 @@ def read_rdf_xml(content: str, scope: str = "") -> list[turtle.Triple]:
         return s
 
     root = ET.fromstring(content)
-    for e in root if root.tag == f"{RDF}RDF" else [root]:
+    for e in root if root.tag in (f"{RDF}RDF", "part") else [root]:
         node(e)
     return out
 
 
+def rdf_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """RDF/XML: one task cuts a file into the nodes below its root as a stream, all tasks read them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [t for file, n, xml in zip(pdf["file"], pdf["n"], pdf["xml"]) for t in read_rdf_xml(xml, f"{zlib.crc32(file.encode()):08x}x{n}")]
+            yield pd.DataFrame(found, columns=["s", "p", "o", "o_kind", "dt", "lang"])
+
+    cut = lambda f: parts.xml_elements(f, lambda local, above, depth: depth == 1 if depth else local != "RDF")
+    return parts.split(spark, path, cut, "n long, xml string").mapInPandas(run, SCHEMA)
+
+
 def whole_files(spark: SparkSession, path: str | list[str], serialization: str) -> DataFrame:
-    """Turtle, N3 or RDF/XML: files are parsed whole, one a row, on the executors."""
-    read = read_rdf_xml if "XML" in serialization.upper() else turtle.read
+    """Turtle, N3: files are parsed whole, one a row, on the executors. RDF/XML is taken apart before."""
+    if "XML" in serialization.upper():
+        return rdf_xml(spark, path)
+    read = turtle.read
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -42,13 +42,6 @@ def csv(spark: SparkSession, paths: list[str], config: Config) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(one, paths))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to as many tasks as the session shuffles to. However many rows a small compressed file holds, few tasks read it, which then do
-    all the work on them; so this stands before work that costs more than to move a row. The
-    condition, which holds for every row, depends on the task; so Spark cannot move the filters behind it to before the exchange."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).filter(F.spark_partition_id() >= 0)
-
-
 def with_wkt(df: DataFrame, config: Config) -> DataFrame:
     """``wkt`` from the geometry column or from coordinates; null where they are missing or no numbers."""
     if config.geometry_attr:
