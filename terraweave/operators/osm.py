@@ -6,8 +6,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -187,28 +188,40 @@ def assemble(kind: str | None, members: list[tuple[str, str]]) -> str | None:
     return "GEOMETRYCOLLECTION (" + ", ".join(w for _, w in members) + ")"
 
 
-@F.pandas_udf(T.StringType())
-def _assembled(kinds: pd.Series, members: pd.Series) -> pd.Series:
-    return pd.Series([assemble(k, [(m["role"] or "", m["wkt"]) for m in ms]) for k, ms in zip(kinds, members)], dtype=object)
+@F.arrow_udf(T.StringType())
+def _assembled(kinds: pa.Array, roles: pa.Array, wkts: pa.Array) -> pa.Array:
+    """Roles and geometries are lists of equal lengths, whose values are taken from Arrow at once."""
+    pairs = list(zip(roles.flatten().to_pylist(), wkts.flatten().to_pylist()))
+    ends = [0, *accumulate(wkts.value_lengths().to_pylist())]
+    return pa.array([assemble(k, [(role or "", wkt) for role, wkt in pairs[i:j]]) for k, i, j in zip(kinds.to_pylist(), ends, ends[1:])], pa.string())
 
 
 def relation_geometries(relations: DataFrame, nodes: DataFrame, ways: DataFrame, rounds: int = 2) -> DataFrame:
     """``(id, tags, wkt)``. ``nodes`` and ``ways`` are ``(id, wkt)``. Members that are relations are looked up in the round
     before, so nesting is followed ``rounds`` deep; members keep the document's order. Rounds after the first are
-    for relations that have such members only."""
-    nested = F.exists("members", lambda m: m["type"] == "relation").alias("nested")
-    kinds = relations.select("id", F.try_element_at("tags", F.lit("type")).alias("kind"), F.coalesce(nested, F.lit(False)).alias("nested"))
-    members = relations.select("id", nested, F.posexplode("members").alias("pos", "m")).select("id", "nested", "pos", "m.ref", "m.type", "m.role")
+    for relations that have such members only, and are planned only if there is one, which is looked up at once."""
+    nested = F.coalesce(F.exists("members", lambda m: m["type"] == "relation"), F.lit(False))
+    own = relations.select("id", F.try_element_at("tags", F.lit("type")).alias("kind"), nested.alias("nested"), "members")
+    members = own.select("id", "kind", "nested", F.posexplode("members").alias("pos", "m")).select("id", "kind", "nested", "pos", "m.ref", "m.type", "m.role")
     known = nodes.select(F.lit("node").alias("type"), F.col("id").alias("ref"), "wkt").unionByName(ways.select(F.lit("way").alias("type"), F.col("id").alias("ref"), "wkt"))
-
-    def assembled(members: DataFrame, known: DataFrame) -> DataFrame:
-        placed = members.join(known, ["type", "ref"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "wkt"))).alias("m"))
-        return placed.join(kinds, "id").select("id", "nested", _assembled("kind", "m").alias("wkt")).filter("wkt is not null")
-
-    found = assembled(members, known)
-    for _ in range(rounds - 1):
-        again = assembled(members.filter("nested"), known.unionByName(found.select(F.lit("relation").alias("type"), F.col("id").alias("ref"), "wkt")))
-        found = found.filter("not nested").unionByName(again)
+    known = known.filter("wkt is not null")  # here, as a condition on the result would have it assembled twice
+
+    def placed(members: DataFrame) -> DataFrame:
+        return members.join(known, ["type", "ref"]).select("id", "kind", "nested", "pos", "role", "wkt")
+
+    def assembled(placed: DataFrame) -> DataFrame:
+        held = placed.groupBy("id", "kind", "nested").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "wkt"))).alias("m"))
+        return held.select("id", "nested", _assembled("kind", F.transform("m", lambda m: m["role"]), F.transform("m", lambda m: m["wkt"])).alias("wkt"))
+
+    found = assembled(placed(members))
+    if rounds > 1 and not own.filter("nested").isEmpty():
+        inner = members.filter("nested and type = 'relation'")
+        again = found
+        for _ in range(rounds - 1):
+            below = again.select(F.col("id").alias("ref"), "wkt")
+            inside = inner.join(below, "ref").select("id", "kind", "nested", "pos", "role", "wkt")
+            again = assembled(placed(members.filter("not nested")).unionByName(placed(members.filter("nested")).unionByName(inside)))
+        found = again
     return relations.join(found.select("id", "wkt"), "id").select("id", "tags", "wkt")
 
 

@@ -57,3 +57,10 @@ def test_costly_work_is_shared(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     above, _, below = plan.partition("Repartition 4, true")
     assert below and "lambda" in above and "lambda" not in below
+
+
+@pytest.mark.parametrize("name", ["j10_holes_g5_stitch"])
+def test_relations_are_assembled_once(spark, name):
+    """Neither a condition on the result nor rounds that no relation needs assemble them again."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
