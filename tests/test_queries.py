@@ -59,7 +59,7 @@ def test_costly_work_is_shared(spark, name):
     assert below and "lambda" in above and "lambda" not in below
 
 
-@pytest.mark.parametrize("name", ["j10_holes_g5_stitch", "g4_multipolygon_g6_collection"])
+@pytest.mark.parametrize("name", ["j10_holes_g5_stitch", "g3_relation_lines", "g4_multipolygon_g6_collection"])
 def test_relations_are_assembled_once(spark, name):
     """Neither a condition on the result nor rounds that no relation needs assemble them again."""
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
