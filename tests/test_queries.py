@@ -64,3 +64,8 @@ def test_relations_are_assembled_once(spark, name):
     """Neither a condition on the result nor rounds that no relation needs assemble them again."""
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_round_does_not_join_relations_with_their_kinds(spark):
+    plan = entry.queries()["j7_members_j8_nested"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 5
