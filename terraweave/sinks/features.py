@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from terraweave.functions import crs, geometry
 from terraweave.operators.filters import is_valid
 from terraweave.sinks import single
+from terraweave.sources import scratch
 
 _CRS = r"^<[^>]*/EPSG/0/(\d+)>\s*(.*)$"
 
@@ -182,36 +183,65 @@ def encode_dbf(rows: list[dict[str, str]], names: list[str], kinds: dict[str, st
 
 
 def shapefile_parts(rows: DataFrame, geometry_column: str, kind: str, source: int = 4326, target: int | None = None, kinds: dict[str, str] | None = None) -> DataFrame:
-    """``(part, shp, shx, dbf)``: the files of one shapefile for each partition. Other kinds of geometry and invalid
-    ones are left out. ``kinds`` as ``schema_of`` gives them."""
+    """``(part, shp, shx, dbf)``: the files of one shapefile for each partition, or for every PART_ROWS rows or PART_CHARS characters of it, so that
+    a task holds no more. Other kinds of geometry and invalid ones are left out. ``kinds`` as ``schema_of`` gives them."""
+    return _encoded(_ready(rows, geometry_column, kind, source, target), kinds)
+
+
+#: What one shapefile takes at most, as text; the format's own bound is 2 GB.
+PART_ROWS, PART_CHARS = 50_000, 1 << 24
+
+
+def _ready(rows: DataFrame, geometry_column: str, kind: str, source: int, target: int | None) -> DataFrame:
     wkt = checked_wkt(F.nullif(F.col(geometry_column), F.lit("")), source)
     g = crs.transform(geometry.parse(wkt), source, target or source)
-    ready = rows.withColumn("__wkt", promoted(geometry.to_wkt(g))).filter(is_valid(g, split_crs(F.col(geometry_column))[1]) & (geometry.kind(F.col("__wkt")) == kind.upper())).drop(geometry_column)
+    return rows.withColumn("__wkt", promoted(geometry.to_wkt(g))).filter(is_valid(g, split_crs(F.col(geometry_column))[1]) & (geometry.kind(F.col("__wkt")) == kind.upper())).drop(geometry_column)
+
+
+def _encoded(ready: DataFrame, kinds: dict[str, str] | None) -> DataFrame:
     names = [c for c in ready.columns if c != "__wkt"]
 
+    def encoded(held: list[pd.DataFrame], n: int) -> pd.DataFrame:
+        pdf = pd.concat(held)
+        shp, shx = encode_shp(list(pdf["__wkt"]))
+        dbf = encode_dbf(pdf[names].astype(object).where(pdf[names].notna(), "").astype(str).to_dict("records"), names, kinds)
+        return pd.DataFrame([(n, shp, shx, dbf)], columns=["n", "shp", "shx", "dbf"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [pdf for pdf in batches if len(pdf)]
+        held, rows, chars, n = [], 0, 0, 0
+        for pdf in batches:
+            for at in range(0, len(pdf), 1000):
+                piece = pdf.iloc[at : at + 1000]
+                size = int(piece["__wkt"].str.len().sum())
+                if held and (rows + len(piece) > PART_ROWS or chars + size > PART_CHARS):
+                    yield encoded(held, n)
+                    held, rows, chars, n = [], 0, 0, n + 1
+                held.append(piece)
+                rows, chars = rows + len(piece), chars + size
         if held:
-            pdf = pd.concat(held)
-            shp, shx = encode_shp(list(pdf["__wkt"]))
-            dbf = encode_dbf(pdf[names].astype(object).where(pdf[names].notna(), "").astype(str).to_dict("records"), names, kinds)
-            yield pd.DataFrame([(shp, shx, dbf)], columns=["shp", "shx", "dbf"])
+            yield encoded(held, n)
 
-    return ready.mapInPandas(run, "shp binary, shx binary, dbf binary").withColumn("part", F.spark_partition_id())
+    made = ready.mapInPandas(run, "n int, shp binary, shx binary, dbf binary")
+    part = F.concat(F.spark_partition_id().cast("string"), F.when(F.col("n") > 0, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise(F.lit("")))
+    return made.select("shp", "shx", "dbf", part.alias("part"))
 
 
 def write_shapefile(rows: DataFrame, path: str, geometry_column: str, kind: str, source: int = 4326, target: int | None = None, parts: int = 1, kinds: dict[str, str] | None = None) -> None:
-    """``path-<part>.shp`` and its siblings. The driver writes one partition at a time through Hadoop's file system;
-    a shapefile holds 2 GB at most, which bounds a part."""
+    """``path-<part>.shp`` and its siblings, ``parts`` of them or more where one would be too large (``path-<part>_<n>.shp``). Geometries are made
+    ready by all tasks and encoded by ``parts``; the driver writes one file set at a time through Hadoop's file system."""
     spark = rows.sparkSession
     jvm = spark._jvm
-    for r in shapefile_parts(rows.coalesce(parts), geometry_column, kind, source, target, kinds).toLocalIterator():
-        files = {name: bytes(r[name]) for name in ("shp", "shx", "dbf")} | {"prj": projection(target or source).encode()}
-        for name, content in files.items():
-            p = jvm.org.apache.hadoop.fs.Path(f"{path}-{r['part']}.{name}")
-            stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
-            stream.write(bytearray(content))
-            stream.close()
+    made = _encoded(_ready(rows, geometry_column, kind, source, target).repartition(parts), kinds)
+    saved = f"{scratch.folder(spark)}/parts"
+    made.write.option("maxRecordsPerFile", 1).parquet(saved)
+    for name in sorted(spark.read.parquet(saved).inputFiles()):  # a file holds one set
+        for r in spark.read.parquet(name).collect():
+            content = {k: bytes(r[k]) for k in ("shp", "shx", "dbf")} | {"prj": projection(target or source).encode()}
+            for suffix, data in content.items():
+                p = jvm.org.apache.hadoop.fs.Path(f"{path}-{r['part']}.{suffix}")
+                stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+                stream.write(bytearray(data))
+                stream.close()
 
 
 def metadata(counts: DataFrame, box: DataFrame, attributes: DataFrame) -> DataFrame:

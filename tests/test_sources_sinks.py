@@ -211,3 +211,14 @@ def test_another_reference_system_is_an_error(spark):
     df = spark.createDataFrame([("<http://www.opengis.net/def/crs/EPSG/0/2100> POINT (1 1)",)], "g string")
     with pytest.raises(Exception, match="2100"):
         df.select(sinks.checked_wkt(F.col("g"), 4326)).collect()
+
+
+def test_large_shapefiles_are_several(spark, tmp_path, monkeypatch):
+    """No task and not the driver holds more than a part takes."""
+    monkeypatch.setattr(sinks, "PART_ROWS", 2000)
+    rows = spark.range(7000, numPartitions=2).select(F.col("id").cast("string").alias("k"), F.concat(F.lit("POINT ("), F.col("id").cast("string"), F.lit(" 1)")).alias("shape"))
+    sinks.write_shapefile(rows, f"{tmp_path}/p", "shape", "POINT")
+    found = list(tmp_path.glob("*.shp"))
+    assert len(found) == 4 and (tmp_path / "p-0.shp").exists() and (tmp_path / "p-0_3.prj").exists()
+    back = binary.shapefile(spark, str(tmp_path)).select(F.col("attrs")["k"].alias("k"), "wkt").collect()
+    assert sorted((int(r.k), r.wkt) for r in back) == [(i, f"POINT ({i} 1)") for i in range(7000)]
