@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import codecs
+import io
 import xml.etree.ElementTree as ET
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -101,18 +105,39 @@ def rdf_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def whole_files(spark: SparkSession, path: str | list[str], serialization: str) -> DataFrame:
-    """Turtle, N3: files are parsed whole, one a row, on the executors. RDF/XML is taken apart before."""
+    """Turtle, N3: a file is one task's work, which reads it as a stream, statement by statement, and holds little of it. RDF/XML is taken apart before."""
     if "XML" in serialization.upper():
         return rdf_xml(spark, path)
-    read = turtle.read
+    files = spark.read.format("binaryFile").load([path] if isinstance(path, str) else path)
+    streams = parts.can_open(files)
+
+    def pieces(f: BinaryIO) -> Iterator[str]:
+        decoder = codecs.getincrementaldecoder("utf-8-sig")()
+        while chunk := f.read(parts.CHUNK):
+            yield decoder.decode(chunk)
+        yield decoder.decode(b"", True)
+
+    def triples(name: str, content: bytes | None) -> Iterator[turtle.Triple]:
+        scope, labels, end = f"{zlib.crc32(name.encode()):08x}", set(), ""
+        with opened_or_held(name, content) as f:
+            for piece in pieces(f):
+                labels |= turtle.own_labels(end + piece, scope)
+                end = (end + piece)[-64:]
+        with opened_or_held(name, content) as f:
+            for out in turtle.Reader(pieces(f), scope, labels).statements():
+                yield from out
+
+    def opened_or_held(name: str, content: bytes | None) -> BinaryIO:
+        return parts.opened(name) if content is None else io.BytesIO(content)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"]):
-                yield pd.DataFrame(read(bytes(content).decode("utf-8-sig"), f"{zlib.crc32(file.encode()):08x}"), columns=["s", "p", "o", "o_kind", "dt", "lang"])
+            for i, name in enumerate(pdf["path"]):
+                found = triples(name, None if streams else bytes(pdf["content"].iloc[i]))
+                while held := list(islice(found, 5000)):
+                    yield pd.DataFrame(held, columns=["s", "p", "o", "o_kind", "dt", "lang"])
 
-    paths = [path] if isinstance(path, str) else path
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", *([] if streams else ["content"])).mapInPandas(run, SCHEMA)
 
 
 def read(spark: SparkSession, path: str | list[str], serialization: str = "N-TRIPLES") -> DataFrame:

@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from terraweave.plans import turtle
 from terraweave.sinks import features as sinks
 from terraweave.sinks import rdf as rdf_sinks
 from terraweave.sources import nested, parts, rdf, xml_graph
@@ -72,3 +73,19 @@ def test_one_file_of_many_parts(spark, tmp_path):
     rdf_sinks.write(rows.select(F.concat(F.lit("http://s/"), "k").alias("s"), F.lit("http://p/x").alias("p"), F.col("k").alias("o"), F.lit("literal").alias("o_kind"), none.alias("dt"), none.alias("lang")), str(tmp_path / "r"), "RDF/XML")
     assert len([f for f in os.listdir(tmp_path / "r") if f.startswith("part")]) == 1
     assert rdf.read(spark, str(tmp_path / "r"), "RDF/XML").count() == 20
+
+
+TURTLE = '@prefix e: <http://e/> . # c\ne:x e:of ( 1 2.5 "three" """lo"ng\n"" x""" ) ; e:n [ e:v "_" ] . _:gx1 e:v "own"@en , "d"^^e:t , 1e+5 , true . e:c e:a.b e:d .'
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_turtle_in_pieces(size):
+    pieces = iter([TURTLE[i : i + size] for i in range(0, len(TURTLE), size)])
+    found = [t for out in turtle.Reader(pieces, "", turtle.own_labels(TURTLE, "")).statements() for t in out]
+    assert found == turtle.read(TURTLE) and len(found) == 16
+
+
+def test_a_statement_of_turtle_does_not_wait_for_the_last():
+    taken = []
+    pieces = (taken.append(i) or f'<http://s/{i}> <http://p> "long enough {i}" .\n' for i in range(1000))
+    assert next(turtle.Reader(pieces).statements()) == [("http://s/0", "http://p", "long enough 0", "literal", None, None)] and len(taken) < 4
